@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+import importlib
+
+from sedimenta.plans.base import QUERIES, SQL
+
+for _name in ("retrieval", "overlays", "aggregates", "graph", "scoring", "incremental", "quality"):
+    importlib.import_module(f"sedimenta.plans.q_{_name}")
+
+__all__ = ["QUERIES", "SQL"]
