@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from sedimenta.llm.common import buffers, clean_name, mix, slices, small_batches, table, word_hashes, written
 
 WORDS, NUM, DEN, SYMBOLS, CHUNK, SEED = 5, 80, 100, 80, 5, 77
-#: Signatures further apart than this are not confirmed: a pair at 0.8 is that far with a chance under 1e-10.
-FAR = 42
+#: Signatures further apart than this are not confirmed: a pair at 0.8 is that far with a chance under 1e-9.
+FAR = 40
+#: Rows of one key that are compared in one group.
+TILE = 512
 
 
 def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -212,30 +214,82 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
 
 
-def link_classes(classes: DataFrame, texts: DataFrame, words: int, rounds: int = 64) -> DataFrame:
-    """(id, component) of the classes that are linked with others."""
+def cross_pairs(open_: DataFrame, far: int = FAR, tile: int = TILE) -> DataFrame:
+    """(a, b): all pairs under one key whose components differ and whose signatures and set sizes allow a link.
+
+    open_ (key, id, c, n, sig). Rows of a key are dealt to tiles of about `tile` rows and each pair of tiles is one group, streamed in key
+    order, so that no key's rows meet in one place and only pairs that may be links come out.
+    """
+    sizes = open_.groupBy("key").agg(F.count(F.lit(1)).alias("m")).select("key", F.ceil(F.col("m") / tile).cast("int").alias("tiles"))
+    dealt = open_.join(sizes, "key").withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    to = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least(o, F.col("t")).alias("i"), F.greatest(o, F.col("t")).alias("j")))
+    each = dealt.withColumn("g", F.explode(to)).select("key", "g.i", "g.j", "id", "c", "n", "sig")
+    parts = each.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+
+        def pairs(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+            ids, c, n = (group.column(x).to_numpy() for x in ("id", "c", "n"))
+            sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint16).reshape(len(ids), -1)
+            out_a, out_b = [], []
+            for k in range(len(ids) - 1):
+                rest = slice(k + 1, None)
+                ok = np.flatnonzero((c[rest] != c[k]) & (np.minimum(n[rest], n[k]) * DEN >= NUM * np.maximum(n[rest], n[k]))) + k + 1
+                ok = ok[(sig[ok] != sig[k]).sum(axis=1) <= far] if len(ok) else ok
+                out_a.append(np.minimum(ids[ok], ids[k]))
+                out_b.append(np.maximum(ids[ok], ids[k]))
+            none = np.zeros(0, np.int64)
+            return (np.concatenate(out_a) if out_a else none), (np.concatenate(out_b) if out_b else none)
+
+        def flush() -> pa.RecordBatch:
+            a, b = pairs(pa.Table.from_batches(held))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            keys = np.stack([batch.column(x).to_numpy().astype(np.int64) for x in range(3)], axis=1)
+            cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]])
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if hi == lo:
+                    continue
+                if last is not None and tuple(keys[lo]) != last:
+                    yield flush()
+                    held.clear()
+                last = tuple(keys[lo])
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield flush()
+
+    return parts.mapInArrow(run, "a long, b long").distinct()
+
+
+def link_classes(classes: DataFrame, texts: DataFrame, words: int, stars: int = 2) -> DataFrame:
+    """(id, component) of the classes that are linked with others.
+
+    `stars` rounds compare the classes of each bucket with one pivot each, which joins most of what belongs together; then all pairs of a
+    bucket that are still in different components are taken, so no candidate pair is left out.
+    """
     keys = bucket_rows(classes)
     order = lambda t: F.struct(F.xxhash64("key", "id", F.lit(t)).alias("h"), "id")
-    met = keys.groupBy("key").agg(F.min(order(0))["id"].alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a")
-    held = written(keys.join(met, "key"), "buckets")  # (key, id, a): rows of buckets with two classes or more
-    tried = written(held.where("id != a").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), "pairs")
-    links = written(confirm(near_enough(tried, classes), texts, words), "links")
-    found = written(components(links), "components")
-    known = held.select("key", "id").join(found, "id", "left").withColumn("c", F.coalesce("component", "id")).select("key", "id", "c")
-    for t in range(1, rounds):
-        # buckets over several components: each of their classes against a new pivot, the pivot of another component than its own
-        mixed = known.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
-        open_ = written(known.join(mixed, "key", "left_semi"), "open")
-        pivot = open_.groupBy("key").agg(F.min(order(t))["id"].alias("a"))
-        pairs = open_.join(pivot, "key").where("id != a").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-        fresh = written(near_enough(pairs.join(tried, ["a", "b"], "left_anti"), classes), "pairs")
-        if not fresh.head(1):
-            break
-        tried = written(tried.union(fresh), "pairs")
-        links = written(links.union(confirm(fresh, texts, words)), "links")
+    met = keys.groupBy("key").agg(F.min(order(0))["id"].alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "a")
+    known = written(keys.join(met, "key").withColumn("c", F.col("id")), "buckets")  # (key, id, a, c): rows of buckets with two classes or more
+    tried = links = found = None
+    for t in range(stars):
+        pairs = known.where("id != a AND c != a_c").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct() if t else known.where("id != a").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+        fresh = written(near_enough(pairs.join(tried, ["a", "b"], "left_anti") if t else pairs, classes), "pairs")
+        tried = written(tried.union(fresh), "pairs") if t else fresh
+        confirmed = confirm(fresh, texts, words)
+        links = written(links.union(confirmed) if t else confirmed, "links")
         found = written(components(links), "components")
-        known = open_.select("key", "id").join(found, "id", "left").withColumn("c", F.coalesce("component", "id")).select("key", "id", "c")
-    return found
+        named = known.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+        mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m"), F.min(F.struct(order(t + 1).alias("o"), "c")).alias("p")).where("lo != hi AND m > 2")
+        known = written(named.join(mixed.select("key", F.col("p.o.id").alias("a"), F.col("p.c").alias("a_c")), "key"), "buckets")
+    rest = cross_pairs(known.select("key", "id", "c").join(classes.select("id", "n", "sig"), "id"))
+    fresh = written(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
+    if not fresh.head(1):
+        return found
+    return written(components(links.union(confirm(fresh, texts, words))), "components")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
