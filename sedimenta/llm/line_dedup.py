@@ -267,14 +267,14 @@ def _by_shard(docs: DataFrame, arrays: DataFrame, shards: int, min_chars: int, n
 
     def answered(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"key": [], "places": []})
+            return pd.DataFrame({"key": [], "places": []}, dtype=object)
         loaded = [Shard(*(bytes(x) for x in r)) for r in right[["sizes", "bits", "marks", "counts", "keepers"]].itertuples(index=False)]
         high, low = (np.ascontiguousarray(left[c].to_numpy(np.int64)).view(np.uint64) for c in ("high", "low"))
         gone = np.zeros(len(left), bool)
         for shard in loaded:
             found, keeper = shard.probe(high, low)
             gone |= found & (keeper != left["doc_id"].to_numpy())
-        return left.loc[gone, ["key", "places"]]
+        return left.loc[gone, ["key", "places"]].astype(object)
 
     asks = keyed.select(doc, F.col("doc_id").cast("long"), F.col("text").cast("binary")).dropDuplicates([doc]).mapInArrow(asked, ask)
     salted = arrays.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(16)])))

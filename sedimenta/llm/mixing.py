@@ -206,7 +206,8 @@ def pieces(placed: DataFrame, block: int = BLOCK) -> DataFrame:
 def taken(placed: DataFrame, drawn: DataFrame, block: int = BLOCK) -> DataFrame:
     """placed with `taken`, the words of each row in the mix. Slots are summed by block first; rows join blocks by (k, block)."""
     used = drawn.groupBy("k", "block", "words").agg(F.count(F.lit(1)).alias("times"))
-    parts = pieces(placed, block).select("k", "start", "block", "from", "to").join(used, ["k", "block"])
+    # the planner takes the slots for as few as the shards they come from, so it is told not to broadcast them
+    parts = pieces(placed, block).select("k", "start", "block", "from", "to").join(used.hint("merge"), ["k", "block"])
     got = parts.groupBy("k", "start").agg(F.sum(F.col("times") * F.greatest(F.least(F.col("to"), F.col("words")) - F.col("from"), F.lit(0))).alias("taken"))
     out = placed.join(got.withColumnRenamed("start", "_start").withColumnRenamed("k", "_k"), (F.col("k") == F.col("_k")) & (F.col("start") == F.col("_start")) & (F.col("size") > 0), "left")
     return out.drop("_k", "_start").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
@@ -221,7 +222,7 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """
     block = settings.get("block", BLOCK)
     placed, drawn, sources = mix(docs, **settings)
-    cuts = pieces(placed, block).select("doc_id", "source", "size", "tie", "k", "start", "block", "from", "to").join(drawn.select("k", "block", "pass", "words"), ["k", "block"])
+    cuts = pieces(placed, block).select("doc_id", "source", "size", "tie", "k", "start", "block", "from", "to").join(drawn.select("k", "block", "pass", "words").hint("merge"), ["k", "block"])
     cuts = cuts.withColumn("to", F.least("to", "words")).where("to > from")
     word = lambda c: (F.col("block") * block + F.col(c) - F.col("start")).cast("int")
     by_row = cuts.groupBy("doc_id", "source", "size", "tie", "start", "pass").agg(F.sort_array(F.collect_list(F.struct(word("from").alias("a"), word("to").alias("b")))).alias("cuts"))
