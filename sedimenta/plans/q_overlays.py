@@ -38,7 +38,7 @@ def live_edges_anti_join(spark, sf_dir):
 
 
 @query("edges_by_source_batch", f"""WITH {EDGES_SQL} SELECT source, COUNT(*) AS n, string_agg(edge_id, ',' ORDER BY at_, edge_id) AS edge_ids
-FROM edges WHERE source % 50 = 0 AND predicate NOT LIKE 'R%' GROUP BY source""")
+FROM edges WHERE source % 50 = 0 AND edge_id NOT IN (SELECT edge_id FROM edges WHERE predicate LIKE 'R%') GROUP BY source""")
 def edges_by_source_batch(spark, sf_dir):
     e = edges(spark, sf_dir)
     wanted = e.where("source % 50 = 0").select("source").distinct()
@@ -80,7 +80,7 @@ def noise_sweep(spark, sf_dir):
     return e.join(o, "source", "left").join(p, "object", "left").select("edge_id", reason.alias("reason")).where("reason IS NOT NULL")
 
 
-@query("edges_to_score", f"""WITH {EDGES_SQL}, s AS (SELECT edge_id, at_, predicate = 'AF' AS scored FROM edges)
+@query("edges_to_score", f"""WITH {EDGES_SQL}, s AS (SELECT edge_id, at_, edge_id IN (SELECT edge_id FROM edges WHERE predicate = 'AF') AS scored FROM edges)
 SELECT edge_id, CASE WHEN scored THEN 1 ELSE 0 END AS tier, ROW_NUMBER() OVER (PARTITION BY scored ORDER BY CASE WHEN scored THEN -epoch(at_) ELSE epoch(at_) END, edge_id) AS place FROM s""")
 def edges_to_score(spark, sf_dir):
     from pyspark.sql import Window
