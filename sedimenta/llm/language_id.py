@@ -19,7 +19,7 @@ from sedimenta.llm.common import _LETTER, buffers, clean_name, mix, remainder, s
 
 #: Bound of the training sample: documents per language, characters of a document in it, sequences of SEQUENCE words.
 SAMPLE_DOCS, SAMPLE_CHARS, SEQUENCES, SEQUENCE, EPOCHS = 120, 100_000, 1600, 64, 4
-HASH_BITS, STRETCH, SEED, LEAST_SCORE = 18, 32, 5, 0.5
+HASH_BITS, STRETCH, SEED, LEAST_SCORE = 18, 32, 5, 0.4
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[65:91] += 32
 

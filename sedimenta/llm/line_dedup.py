@@ -296,15 +296,15 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = r"""
 WITH lines AS (
-    SELECT doc_id, UNNEST(string_split(COALESCE(text, ''), chr(10))) AS line, UNNEST(range(len(string_split(COALESCE(text, ''), chr(10))))) AS at FROM documents
+    SELECT doc_id, UNNEST(string_split(COALESCE(text, ''), chr(10))) AS line, UNNEST(range(len(string_split(COALESCE(text, ''), chr(10))))) AS nr FROM documents
 ), keyed AS (
-    SELECT doc_id, at, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+    SELECT doc_id, nr, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
 ), hot AS (
     SELECT key, MAX(doc_id) AS keeper FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING COUNT(DISTINCT doc_id) >= 5
 ), marked AS (
-    SELECT k.doc_id, k.at, k.line, h.key IS NOT NULL AND h.keeper <> k.doc_id AS gone FROM keyed k LEFT JOIN hot h ON k.key = h.key
+    SELECT k.doc_id, k.nr, k.line, h.key IS NOT NULL AND h.keeper <> k.doc_id AS gone FROM keyed k LEFT JOIN hot h ON k.key = h.key
 )
 SELECT doc_id, CAST(COUNT(*) AS BIGINT) AS n_lines, CAST(COUNT(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
-       sha256(COALESCE(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE NOT gone), '')) AS kept_sha256
+       sha256(COALESCE(string_agg(line, chr(10) ORDER BY nr) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """

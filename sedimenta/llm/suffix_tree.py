@@ -220,7 +220,7 @@ def score(docs: DataFrame, tree: Tree, vocabulary: DataFrame, block_bytes: int =
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-int(size) // block_bytes))
     sent = spark.sparkContext.broadcast(tree)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-blocks // 4))  # some 32 MB of text each at any size
     blocked = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).select("text", "doc_id", "held", "block").repartition(parts, "block")
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
