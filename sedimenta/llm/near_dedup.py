@@ -22,8 +22,10 @@ from sedimenta.llm.common import buffers, clean_name, mix, slices, small_batches
 WORDS, NUM, DEN, SYMBOLS, CHUNK, SEED = 5, 80, 100, 80, 5, 77
 #: Signatures further apart than this are not confirmed: a pair at 0.8 is that far with a chance under 1e-9.
 FAR = 40
-#: Rows of one key that are compared in one group.
-TILE = 512
+#: Rows that are compared in one group: of one key by signatures (160 bytes a row), of one group with texts.
+KEY_TILE, TILE = 8192, 512
+#: Edges of a graph that one task contracts.
+TASK_EDGES = 1 << 20
 
 
 def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -155,31 +157,17 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, num: int = NUM, den:
     right = kept.join(texts.select(F.col("id").alias("b"), "text"), "b").select("a", "part", "b", "text")
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, wait = None, []
-
-        def ok(sets: list[np.ndarray], ids: list[int]) -> list[int]:
-            out = []
-            for s, i in zip(sets, ids, strict=True):
-                both = len(np.intersect1d(base, s, assume_unique=True))
-                if both and den * both >= num * (len(base) + len(s) - both):
-                    out.append(i)
-            return out
-
-        found: list[int] = []
+        ids: list[int | None] = []
+        sets: list[np.ndarray] = []
         for batch in batches:
-            ids = batch.column(2).to_pylist()
-            data, offs = buffers(batch.column(3))
-            sets = shingle_sets(data, offs, words)
-            if None in ids:
-                k = ids.index(None)
-                base = sets.pop(k)
-                ids.pop(k)
-            if base is None:
-                wait.append((sets, ids))
-            else:
-                found += ok(sets, ids)
-        for sets, ids in wait:
-            found += ok(sets, ids)
+            ids += batch.column(2).to_pylist()
+            sets += shingle_sets(*buffers(batch.column(3)), words)
+        pivots = [s for s, i in zip(sets, ids, strict=True) if i is None]
+        found = []
+        for s, i in zip(sets, ids, strict=True):
+            both = [len(np.intersect1d(p, s, assume_unique=True)) for p in pivots] if i is not None else []
+            if any(m and den * m >= num * (len(p) + len(s) - m) for p, m in zip(pivots, both, strict=False)):
+                found.append(i)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(found), pa.int64()), pa.array(found, pa.int64())], names=["a", "b"])
 
     return left.unionByName(right).groupBy("a", "part").applyInArrow(run, "a long, b long")
@@ -191,13 +179,53 @@ def _over(*keys: str):
     return Window.partitionBy(*keys)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, component) of every id in links (a, b), the least id it reaches. Large-star and small-star rounds over written tables.
+def forest(edges: DataFrame) -> DataFrame:
+    """(u, v) with v < u: each task's edges (u, v) as stars around the least id that their nodes reach within the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = Union()
+        for batch in batches:
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                tree.join(u, v)
+        yield tree.stars(["u", "v"])
+
+    return edges.mapInArrow(run, "u long, v long")
+
+
+class Union:
+    """Sets of ids, each named by its least."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        up, root = self.up, x
+        while (y := up.get(root, root)) != root:
+            root = y
+        while (y := up.get(x, x)) != root:
+            up[x], x = root, y
+        return root
 
-    Neighbourhoods are never gathered: each round takes minima by key and joins them back.
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        if a == b:
+            return False
+        self.up[max(a, b)] = min(a, b)
+        return True
+
+    def stars(self, names: list[str]) -> pa.RecordBatch:
+        nodes = [x for x in self.up if self.find(x) != x]
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([self.find(x) for x in nodes], pa.int64())], names=names)
+
+
+def components(links: DataFrame, per_task: int = TASK_EDGES) -> DataFrame:
+    """(id, component) of every id in links (a, b), the least id it reaches.
+
+    Tasks contract their edges to stars; once at most per_task edges are left (counted), one more task joins them. Until then rounds of
+    large-star and small-star, which take minima by key and never gather a neighbourhood, bring the stars together.
     """
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
-    while True:
+    edges = written(forest(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "edges")
+    while edges.count() > per_task:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         # large star: larger neighbours hang onto the least one
@@ -205,98 +233,141 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         # small star: smaller neighbours and the node itself hang onto the least one
         joined = large.join(low, "u")
-        small = written(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "edges")
-        same = small.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        was = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        small = written(forest(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).where("u != v").distinct()), "edges")
+        if not _open(small):
+            return _named(small)
         edges = small
-        if same == was:
-            break
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
+    return _named(written(forest(edges.coalesce(1)), "components"))
 
 
-def cross_pairs(open_: DataFrame, far: int = FAR, tile: int = TILE) -> DataFrame:
-    """(a, b): all pairs under one key whose components differ and whose signatures and set sizes allow a link.
+def _open(edges: DataFrame) -> bool:
+    """Whether a node hangs onto two others, or onto one that hangs itself."""
+    twice = edges.groupBy("u").agg(F.countDistinct("v").alias("n")).where("n > 1")
+    return bool(twice.head(1)) or bool(edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").head(1))
 
-    open_ (key, id, c, n, sig). Rows of a key are dealt to tiles of about `tile` rows and each pair of tiles is one group, streamed in key
-    order, so that no key's rows meet in one place and only pairs that may be links come out.
-    """
-    sizes = open_.groupBy("key").agg(F.count(F.lit(1)).alias("m")).select("key", F.ceil(F.col("m") / tile).cast("int").alias("tiles"))
-    dealt = open_.join(sizes, "key").withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+
+def _named(stars: DataFrame) -> DataFrame:
+    return stars.select(F.col("u").alias("id"), F.col("v").alias("component")).union(stars.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
+
+
+def by_tiles(rows: DataFrame, group: str, tile: int) -> DataFrame:
+    """rows dealt so that any two of a group meet in one (group, i, j): ids go to tiles of about `tile` rows, pairs of tiles are groups."""
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(group, F.ceil(F.col("m") / tile).cast("int").alias("tiles"))
+    dealt = rows.join(sizes, group).withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     to = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least(o, F.col("t")).alias("i"), F.greatest(o, F.col("t")).alias("j")))
-    each = dealt.withColumn("g", F.explode(to)).select("key", "g.i", "g.j", "id", "c", "n", "sig")
-    parts = each.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    each = dealt.withColumn("_to", F.explode(to)).select(group, "_to.i", "_to.j", *[c for c in rows.columns if c != group])
+    return each.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
 
-        def pairs(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-            ids, c, n = (group.column(x).to_numpy() for x in ("id", "c", "n"))
-            sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint16).reshape(len(ids), -1)
-            out_a, out_b = [], []
+def groups_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Runs of rows that agree in the first `keys` columns, streamed."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = np.stack([batch.column(x).to_numpy().astype(np.int64) for x in range(keys)], axis=1)
+        cuts = np.concatenate([[0], np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1, [len(k)]])
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if last is not None and tuple(k[lo]) != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = tuple(k[lo])
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _columns(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    ids, c, n = (group.column(x).to_numpy() for x in ("id", "c", "n"))
+    return ids, c, n, np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint16).reshape(len(ids), -1)
+
+
+def _partners(k: int, c: np.ndarray, n: np.ndarray, sig: np.ndarray, far: int) -> np.ndarray:
+    """Later rows of another component that sizes and signatures allow as partners of row k."""
+    rest = slice(k + 1, None)
+    ok = np.flatnonzero((c[rest] != c[k]) & (np.minimum(n[rest], n[k]) * DEN >= NUM * np.maximum(n[rest], n[k]))) + k + 1
+    return ok[(sig[ok] != sig[k]).sum(axis=1) <= far] if len(ok) else ok
+
+
+def near_groups(open_: DataFrame, far: int = FAR) -> DataFrame:
+    """(id, g): groups of ids that hang together by pairs under one key that are in different components and near by their signatures.
+
+    open_ (key, id, c, n, sig). Tasks keep one set of ids each and put out stars, not pairs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = Union()
+        for group in groups_of(batches, 3):
+            ids, c, n, sig = _columns(group)
             for k in range(len(ids) - 1):
-                rest = slice(k + 1, None)
-                ok = np.flatnonzero((c[rest] != c[k]) & (np.minimum(n[rest], n[k]) * DEN >= NUM * np.maximum(n[rest], n[k]))) + k + 1
-                ok = ok[(sig[ok] != sig[k]).sum(axis=1) <= far] if len(ok) else ok
-                out_a.append(np.minimum(ids[ok], ids[k]))
-                out_b.append(np.maximum(ids[ok], ids[k]))
-            none = np.zeros(0, np.int64)
-            return (np.concatenate(out_a) if out_a else none), (np.concatenate(out_b) if out_b else none)
-
-        def flush() -> pa.RecordBatch:
-            a, b = pairs(pa.Table.from_batches(held))
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                for x in _partners(k, c, n, sig, far):
+                    tree.join(int(ids[k]), int(ids[x]))
+        yield tree.stars(["a", "b"])
 
-        for batch in batches:
-            keys = np.stack([batch.column(x).to_numpy().astype(np.int64) for x in range(3)], axis=1)
-            cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]])
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if hi == lo:
+    return components(by_tiles(open_, "key", KEY_TILE).mapInArrow(run, "a long, b long")).select("id", F.col("component").alias("g"))
+
+
+def group_links(members: DataFrame, words: int, far: int = FAR, num: int = NUM, den: int = DEN) -> DataFrame:
+    """(a, b): links between different components inside groups, on full sets; of several that join the same components in a task, one.
+
+    members (g, id, c, n, sig, text). A text travels once for each tile of its group, not for each pair.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = Union()
+        for group in groups_of(batches, 3):
+            ids, c, n, sig = _columns(group)
+            data, offs = buffers(group.column("text"))
+            sets = [s for i, j in slices(offs) for s in shingle_sets(data, offs[i : j + 1], words)]
+            found: list[tuple[int, int]] = []
+            for k in range(len(ids) - 1):
+                ok = _partners(k, c, n, sig, far)
+                if not len(ok):
                     continue
-                if last is not None and tuple(keys[lo]) != last:
-                    yield flush()
-                    held.clear()
-                last = tuple(keys[lo])
-                held.append(batch.slice(lo, hi - lo))
-        if held:
-            yield flush()
+                own, sizes = sets[k], np.array([len(sets[x]) for x in ok])
+                both = np.concatenate([sets[x] for x in ok])
+                at = np.minimum(np.searchsorted(own, both), len(own) - 1)
+                shared = np.add.reduceat((own[at] == both).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+                for x in ok[den * shared >= num * (len(own) + sizes - shared)]:
+                    if tree.join(int(c[k]), int(c[x])):
+                        found.append((int(ids[k]), int(ids[x])))
+            yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], names=["a", "b"])
 
-    return parts.mapInArrow(run, "a long, b long").distinct()
+    return by_tiles(members, "g", TILE).mapInArrow(run, "a long, b long")
 
 
-def link_classes(classes: DataFrame, texts: DataFrame, words: int, stars: int = 2) -> DataFrame:
+def link_classes(classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """(id, component) of the classes that are linked with others.
 
-    `stars` rounds compare the classes of each bucket with one pivot each, which joins most of what belongs together; then all pairs of a
-    bucket that are still in different components are taken, so no candidate pair is left out.
+    All classes of a bucket are compared with one pivot, the class that shares most buckets with most classes, which joins nearly all that
+    belongs together. Then the pairs of a bucket that are still in different components are taken, all of them, inside the groups that
+    their signatures leave.
     """
     keys = bucket_rows(classes)
-    order = lambda t: F.struct(F.xxhash64("key", "id", F.lit(t)).alias("h"), "id")
-    met = keys.groupBy("key").agg(F.min(order(0))["id"].alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "a")
-    known = written(keys.join(met, "key").withColumn("c", F.col("id")), "buckets")  # (key, id, a, c): rows of buckets with two classes or more
-    tried = links = found = None
-    for t in range(stars):
-        pairs = known.where("id != a AND c != a_c").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct() if t else known.where("id != a").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-        fresh = written(near_enough(pairs.join(tried, ["a", "b"], "left_anti") if t else pairs, classes), "pairs")
-        tried = written(tried.union(fresh), "pairs") if t else fresh
-        confirmed = confirm(fresh, texts, words)
-        links = written(links.union(confirmed) if t else confirmed, "links")
-        found = written(components(links), "components")
-        named = known.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-        mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m"), F.min(F.struct(order(t + 1).alias("o"), "c")).alias("p")).where("lo != hi AND m > 2")
-        known = written(named.join(mixed.select("key", F.col("p.o.id").alias("a"), F.col("p.c").alias("a_c")), "key"), "buckets")
-    rest = cross_pairs(known.select("key", "id", "c").join(classes.select("id", "n", "sig"), "id"))
-    fresh = written(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
-    if not fresh.head(1):
+    met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    held = written(keys.join(met, "key"), "buckets")  # (key, id, m): rows of buckets with two classes or more
+    ranked = held.join(held.groupBy("id").agg(F.sum("m").alias("reach")), "id")
+    pivot = ranked.groupBy("key").agg(F.max(F.struct("reach", (-F.col("id")).alias("less"))).alias("p")).select("key", (-F.col("p.less")).alias("pivot"))
+    pairs = held.join(pivot, "key").where("id != pivot").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
+    links = written(confirm(near_enough(pairs, classes), texts, words), "links")
+    found = written(components(links), "components")
+    named = held.where("m > 2").select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
+    light = classes.select("id", "n", "sig")
+    grouped = written(near_groups(named.join(mixed, "key", "left_semi").join(light, "id")), "groups")
+    if not grouped.head(1):
         return found
-    return written(components(links.union(confirm(fresh, texts, words))), "components")
+    members = grouped.join(found, "id", "left").select("g", "id", F.coalesce("component", "id").alias("c")).join(light, "id").join(texts, "id")
+    more = group_links(members.select("g", "id", "c", "n", "sig", "text"), words)
+    return written(components(links.union(more)), "components")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of docs (doc_id, text).
 
     Texts that are null or without words have no shingles, link with nothing and are kept. Rows that repeat (same id and text) are one
-    document and come back as often as they are there, all kept or none. Null ids stay apart from all others and are kept. The component
+    document and come back as often as they are there, all kept or none; rows of one id with several texts link through any of them. Null ids stay apart from all others and are kept. The component
     is named by its least doc_id. An empty table gives an empty one; other columns play no part.
     """
     rows = written(profile(docs, words), "profiles")
