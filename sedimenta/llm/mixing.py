@@ -187,7 +187,11 @@ def source_sizes(sized: DataFrame) -> list[tuple[str | None, int]]:
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeat: int = REPEAT, block: int = BLOCK, slots: int = SLOTS, seed: int = SEED) -> tuple[DataFrame, DataFrame, list[dict]]:
-    """(spans, slots, sources). spans: doc_id, source, size, tie, start, k of every row; slots: draw_slots joined by the caller on (k, block)."""
+    """(spans, slots, sources). spans: doc_id, source, size, tie, start, k of every row; slots: draw_slots joined by the caller on (k, block).
+
+    Null and empty texts have size 0 and are never taken; a null source is the last source; a null id is an id like any other; rows that
+    repeat are taken each for itself; a source without words has target and quota 0; an empty table has no slots; other columns play no part.
+    """
     sized = written(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie")), "mix-sizes")
     sources = plan(source_sizes(sized), weights, share, repeat, block)
     spark = docs.sparkSession

@@ -65,3 +65,14 @@ def test_repeated_rows_nulls_and_empty(spark, docs, rows, empty):
     assert Counter(r["doc_id"] for r in P.fingerprints(docs).collect()) == Counter(r[0] for r in rows)
     assert P.fingerprints(empty).collect() == []
     assert P.with_next(docs.select("doc_id", "text"), ["text"]).count() == len(rows)
+
+
+def test_next_rows_over_many_ranges(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(P, "_ranges", lambda docs: 40)
+    ids = random.Random(2).sample(range(-10_000, 10_000), 700)
+    df = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string").repartition(9)
+    order = sorted(ids, reverse=True)
+    want = {i: f"t{order[(k + 1) % len(order)]}" for k, i in enumerate(order)}
+    assert {r["doc_id"]: r["next_text"] for r in P.with_next(df, ["text"]).collect()} == want

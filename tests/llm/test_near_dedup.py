@@ -71,3 +71,52 @@ def test_dropping_keeps_columns_and_one_of_each_group(docs, rows, empty):
     want = brute({r[0]: r[1] for r in rows if r[0] is not None}.items(), 5)
     assert kept - {None} == {i for i, v in want.items() if v[2]}
     assert N.near_duplicates(empty).collect() == []
+
+
+def test_pairs_that_no_pivot_meets(spark, monkeypatch):
+    """Two families under common passages: members link to their own kind only, whichever class is the pivot."""
+    import random
+
+    rng = random.Random(5)
+    common = [f"c{k}" for k in range(70)]
+    rows, i = [], 0
+    for fam in range(6):
+        own = [f"f{fam}x{k}" for k in range(50)]
+        for _ in range(8):
+            w = common + own
+            for _ in range(4):
+                w[rng.randrange(len(w))] = f"edit{i}_{rng.random()}"
+            rows.append((i, " ".join(w)))
+            i += 1
+    rng.shuffle(rows)
+    monkeypatch.setattr(N, "TILE", 4)
+    monkeypatch.setattr(N, "KEY_TILE", 3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert got == brute(rows, 2)
+
+
+def test_components_by_rounds_of_stars(spark):
+    import random
+
+    rng = random.Random(1)
+    edges = [(k, k + 1) for k in range(200, 260)] + [(rng.randrange(100), rng.randrange(100)) for _ in range(60)] + [(500, 501)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    want = {r["id"]: r["component"] for r in N.components(df).collect()}
+    assert {r["id"]: r["component"] for r in N.components(df, per_task=0).collect()} == want
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        p, q = find(a), find(b)
+        root[max(p, q)] = min(p, q)
+    assert want == {x: find(x) for x in root if any(x in e and e[0] != e[1] for e in edges)}
+
+
+def test_rows_of_one_id(spark):
+    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (3, "x y z")]
+    got = sorted((r["doc_id"], r["component_id"]) for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 3)]

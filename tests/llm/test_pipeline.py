@@ -37,3 +37,40 @@ def test_awkward_documents(spark, docs, empty):
     assert before.count() and P.STAGES[-1][1](spark, before, "").count()
     for _, stage in P.STAGES:
         assert stage(spark, empty, "").count() == 0
+
+
+def test_run_against_brute_force(spark, sf):
+    """Language by the model's own answers, then lines, near copies and tokens by plain code; the mix is held against its quotas."""
+    import struct
+    import zlib
+
+    import test_line_dedup
+    import test_mixing
+    import test_near_dedup
+    from tokenizers import Tokenizer
+
+    from sedimenta.llm import language_id, mixing, packing
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(docs, language_id.fit(docs)).collect()}
+    rows = [tuple(r) for r in docs.collect() if found[r["doc_id"]][0] != "und" and found[r["doc_id"]][1] >= language_id.LEAST_SCORE]
+    text = {i: t for i, t, _, _ in test_line_dedup.brute(rows)}
+    kept = [i for i, (_, _, k) in test_near_dedup.brute(text.items(), 5).items() if k]
+    left = [(r[0], text[r[0]], r[2], r[3], len(text[r[0]])) for r in rows if r[0] in set(kept)]
+    mixed = mixing.mixed_documents(spark.createDataFrame(left, docs.schema)).collect()
+    size, taken = Counter(), Counter()
+    for r in left:
+        size[r[3]] += len(test_mixing.words(r[1]))
+    for r in mixed:
+        taken[r["source"]] += len(test_mixing.words(r["text"]))
+    for s in mixing.plan(list(size.items())):
+        assert taken[s["source"]] == s["quota"]
+    tool = Tokenizer.from_file(packing.default_tokenizer())
+    want = Counter()
+    for r in mixed:
+        ids = tool.encode(r["text"], add_special_tokens=False).ids + [1]
+        for k, at in enumerate(range(0, len(ids), 4096)):
+            part = ids[at : at + 4096]
+            want[(r["doc_id"], k, at, len(part), zlib.crc32(struct.pack(f"<{len(part)}I", *part)))] += 1
+    out = P.run(spark, sf).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out) == want
