@@ -90,7 +90,7 @@ def route_depth(query: Column) -> Column:
     """shallow for empty queries, identifiers and single tokens, else normal."""
     q = F.trim(F.coalesce(query, F.lit("")))
     identifier = q.startswith("sha256:") | q.startswith("http://") | q.startswith("https://") | q.startswith("file://") | q.rlike(ULID)
-    return F.when((q == "") | identifier | (word_count(q) <= 1), "shallow").otherwise("normal")
+    return F.when((q == "") | identifier | (word_count(F.regexp_replace(q, r'[-+*"():^]', " ")) <= 1), "shallow").otherwise("normal")
 
 
 def normalize_verdict(verdict: Column) -> Column:
@@ -117,7 +117,7 @@ def slugify(kind: Column) -> Column:
 
 def client_slug(raw: Column) -> Column:
     s = F.regexp_replace(F.lower(F.coalesce(raw, F.lit(""))), "[^a-z0-9._-]+", "-")
-    s = F.left(F.regexp_replace(s, "^[-._]+|[-._]+$", ""), F.lit(64))
+    s = F.regexp_replace(F.left(F.regexp_replace(s, "^[-._]+|[-._]+$", ""), F.lit(64)), "[-._]+$", "")
     return F.when(s == "", "unknown").otherwise(s)
 
 
@@ -127,9 +127,9 @@ def modality(mime: Column) -> Column:
 
 
 def truncate_marked(text: Column, most: int = 30_000, head: int = 24_000, tail: int = 4_000) -> Column:
-    """Head, a marker with the number of characters left out, and tail of long texts."""
-    gone = (F.length(text) - head - tail).cast("string")
-    return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(head)), F.lit("\n\n[... "), gone, F.lit(" characters left out ...]\n\n"), F.right(text, F.lit(tail)))).otherwise(text)
+    """Head, a marker (its wording is a fixed value) with the number of characters left out, and tail of long texts."""
+    gone = F.format_number(F.length(text) - head - tail, 0)
+    return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(head)), F.lit("\n\n[TRUNCATED: "), gone, F.lit(" chars elided from middle]\n\n"), F.right(text, F.lit(tail)))).otherwise(text)
 
 
 def searchable(*parts: Column) -> Column:
@@ -153,4 +153,4 @@ def point_digest(text: Column) -> Column:
 
 def escape_for_log(text: Column, most: int = 200) -> Column:
     s = F.regexp_replace(text, r"[^\p{Print}\p{L}\p{N}\p{P}\p{S} ]", " ")
-    return F.when(F.length(s) > most, F.concat(F.left(s, F.lit(most)), F.lit("…"))).otherwise(s)
+    return F.when(F.length(s) > most, F.concat(F.left(s, F.lit(most - 1)), F.lit("…"))).otherwise(s)

@@ -18,6 +18,49 @@ def ranking_metrics(ranked: DataFrame, relevant: DataFrame, k: int = 10) -> Data
     )
 
 
+def leaks(ranked: DataFrame, forbidden: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, leak) for queries with forbidden ids: whether one stands among the first k."""
+    met = forbidden.join(ranked.where(F.col("rank") <= k), ["query_id", "id"], "left")
+    return met.groupBy("query_id").agg((F.count("rank") > 0).alias("leak"))
+
+
+#: Shape of a memory case: what is known and what each tool answered.
+MEMORY_CASE = (
+    "id string, family string, evidence array<struct<id: string, current: boolean>>, expected_claims array<string>, forbidden_claims array<string>, claim_support map<string, array<string>>, "
+    "answer_known boolean, requires_conflict_disclosure boolean, outputs array<struct<claims: array<struct<id: string, citations: array<string>, mode: string>>, abstained: boolean, conflict_disclosed: boolean>>"
+)
+MEMORY_METRICS = ("truth_precision", "current_recall", "stale_exclusion", "citation_coverage", "citation_validity", "conflict_honesty", "abstention_accuracy")
+
+
+def memory_quality(cases: DataFrame) -> DataFrame:
+    """(id, family, the seven MEMORY_METRICS, cross_tool_consistency): means over a case's outputs; a share of nothing is 1."""
+    share = lambda part, whole: F.when(whole > 0, part / whole).otherwise(1.0)
+    ids = F.transform("evidence", lambda e: e["id"])
+    current = F.transform(F.filter("evidence", lambda e: e["current"]), lambda e: e["id"])
+
+    def of(o):
+        facts = F.filter(o["claims"], lambda c: c["mode"] == "fact")
+        names = F.array_distinct(F.transform(facts, lambda c: c["id"]))
+        cited = F.flatten(F.transform(facts, lambda c: c["citations"]))
+        n = F.size(facts)
+        supported = F.filter(facts, lambda c: F.coalesce(F.arrays_overlap(c["citations"], F.try_element_at(F.col("claim_support"), c["id"])), F.lit(False)))
+        stale = (F.size(F.array_intersect(names, "forbidden_claims")) > 0) | (F.size(F.filter(cited, lambda x: ~F.array_contains(current, x))) > 0)
+        known = F.when(F.col("answer_known"), ~o["abstained"]).otherwise(o["abstained"] & (n == 0))
+        return F.struct(
+            share(F.size(supported), n).alias("truth_precision"), share(F.size(F.array_intersect(names, "expected_claims")), F.size(F.array_distinct("expected_claims"))).alias("current_recall"),
+            F.when(stale, 0.0).otherwise(1.0).alias("stale_exclusion"), share(F.size(F.filter(facts, lambda c: F.size(c["citations"]) > 0)), n).alias("citation_coverage"),
+            share(F.size(F.filter(cited, lambda x: F.array_contains(ids, x))), F.size(cited)).alias("citation_validity"),
+            F.when(F.col("requires_conflict_disclosure") & ~o["conflict_disclosed"], 0.0).otherwise(1.0).alias("conflict_honesty"), F.when(known, 1.0).otherwise(0.0).alias("abstention_accuracy"), names.alias("names"),
+        )
+
+    scored = cases.withColumn("s", F.transform("outputs", of))
+    mean = lambda m: share(F.aggregate("s", F.lit(0.0), lambda a, x: a + x[m]), F.size("s"))
+    pair = lambda a, b: F.when(F.size(F.array_union(a, b)) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+    pairs = F.flatten(F.transform("s", lambda x, i: F.transform(F.slice(F.col("s"), i + 2, F.size("s")), lambda y: pair(x["names"], y["names"]))))
+    consistency = share(F.aggregate("p", F.lit(0.0), lambda a, x: a + x), F.size("p"))
+    return scored.withColumn("p", pairs).select("id", "family", *[mean(m).alias(m) for m in MEMORY_METRICS], consistency.alias("cross_tool_consistency"))
+
+
 def topk_agreement(a: DataFrame, b: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, jaccard, same_top): two rankings (query_id, id, rank) over their first k; both empty agree."""
     x = a.where(F.col("rank") <= k).groupBy("query_id").agg(F.collect_set("id").alias("a"), F.min_by("id", "rank").alias("a1"))

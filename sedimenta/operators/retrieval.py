@@ -136,30 +136,31 @@ def article_first(hits: DataFrame, synthesis: Column, article: Column, invalidat
 
 
 def find_boundary(text: str, start: int, end: int) -> int:
-    """Where to cut within text[start:end]: after the last blank line, else sentence end, else blank, in the last quarter."""
-    floor = start + (end - start) * 3 // 4
-    at = text.rfind("\n\n", floor, end)
-    if at > 0:
-        return at + 2
-    best = max(text.rfind(mark, floor, end) for mark in (". ", "! ", "? ", ".\n", "!\n", "?\n"))
-    if best > 0:
-        return best + 2
-    at = text.rfind(" ", floor, end)
-    return at + 1 if at > 0 else end
+    """Where to cut within text[start:end]: after its last blank line, else sentence end (marks in order), else blank; else at the end."""
+    for mark in ("\n\n", ". ", "! ", "? ", ".\n", "!\n", "?\n", " "):
+        at = text.rfind(mark, start, end)
+        if at >= 0:
+            return at + len(mark)
+    return end
 
 
 def chunks(text: str, size: int = 24_370, overlap: int = 2_000) -> list[tuple[int, int]]:
-    """(start, end) of overlapping pieces that cover the text."""
+    """(start, end) of the pieces of a text: starts are size - overlap apart, ends lie at a boundary in a piece's last quarter.
+
+    A piece that is cut short by more than the overlap leaves the rest up to the next start out, which is the model's rule.
+    """
+    if overlap >= size:
+        raise ValueError("the overlap must be smaller than a piece")
     if len(text) <= size:
         return [(0, len(text))]
-    out, start = [], 0
-    while start < len(text):
-        end = min(len(text), start + size)
-        end = find_boundary(text, start, end) if end < len(text) else end
+    out = []
+    for start in range(0, len(text), size - overlap):
+        end = min(start + size, len(text))
+        if end < len(text):
+            end = max(find_boundary(text, start + size * 3 // 4, end), start + 1)
         out.append((start, end))
-        if end >= len(text):
+        if end == len(text):
             break
-        start = max(end - overlap, start + 1)
     return out
 
 

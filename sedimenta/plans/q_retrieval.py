@@ -151,7 +151,7 @@ def article_first(spark, sf_dir):
 
 
 @query("query_router", r"""SELECT conv_id, turn, CASE WHEN q = '' OR q LIKE 'sha256:%' OR q LIKE 'http://%' OR q LIKE 'https://%' OR q LIKE 'file://%' OR regexp_matches(q, '(?i)^[0-9A-HJKMNP-TV-Z]{26}$')
-  OR len(list_filter(string_split_regex(q, '\s+'), lambda x: x <> '')) <= 1 THEN 'shallow' ELSE 'normal' END AS depth,
+  OR len(list_filter(string_split_regex(regexp_replace(q, '[-+*"():^]', ' ', 'g'), '\s+'), lambda x: x <> '')) <= 1 THEN 'shallow' ELSE 'normal' END AS depth,
   regexp_matches(text, '(?i)\b(current|currently|latest|now|today|recent|recently|nowadays|present|these days|right now|as of)\b') AS temporal
 FROM (SELECT *, trim(COALESCE(text, '')) AS q FROM conversations)""")
 def query_router(spark, sf_dir):

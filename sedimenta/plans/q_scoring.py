@@ -62,7 +62,7 @@ def slugify_q(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", text.slugify(F.concat_ws(" #", "p_type", "p_brand")).alias("slug"))
 
 
-@query("client_slugs", r"""WITH s AS (SELECT page_id, left(regexp_replace(regexp_replace(lower(url), '[^a-z0-9._-]+', '-', 'g'), '^[-._]+|[-._]+$', '', 'g'), 64) AS s FROM pages) SELECT page_id, CASE WHEN s = '' THEN 'unknown' ELSE s END AS slug FROM s""")
+@query("client_slugs", r"""WITH s AS (SELECT page_id, regexp_replace(left(regexp_replace(regexp_replace(lower(url), '[^a-z0-9._-]+', '-', 'g'), '^[-._]+|[-._]+$', '', 'g'), 64), '[-._]+$', '') AS s FROM pages) SELECT page_id, CASE WHEN s = '' THEN 'unknown' ELSE s END AS slug FROM s""")
 def client_slugs(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", text.client_slug(F.col("url")).alias("slug"))
 
@@ -75,7 +75,7 @@ def modality_for_mime(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", text.modality(mime).alias("modality"))
 
 
-@query("truncate_marked", "SELECT doc_id, length(t) AS n, sha256(t) AS digest FROM (SELECT doc_id, CASE WHEN length(text) > 3000 THEN left(text, 2400) || chr(10) || chr(10) || '[... ' || (length(text) - 2800) || ' characters left out ...]' || chr(10) || chr(10) || right(text, 400) ELSE text END AS t FROM documents)")
+@query("truncate_marked", "SELECT doc_id, length(t) AS n, sha256(t) AS digest FROM (SELECT doc_id, CASE WHEN length(text) > 3000 THEN left(text, 2400) || chr(10) || chr(10) || '[TRUNCATED: ' || format('{:,}', length(text) - 2800) || ' chars elided from middle]' || chr(10) || chr(10) || right(text, 400) ELSE text END AS t FROM documents)")
 def truncate_marked(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select("doc_id", text.truncate_marked(F.col("text"), 3000, 2400, 400).alias("t"))
     return d.select("doc_id", F.length("t").cast("long").alias("n"), F.sha2("t", 256).alias("digest"))

@@ -1,4 +1,3 @@
-import difflib
 import math
 
 import pytest
@@ -75,7 +74,7 @@ def test_components(spark):
 def test_lineage_and_merging(spark):
     rows = spark.createDataFrame([(2, 1), (3, 1), (4, 1)], "child long, parent long")
     assert {tuple(r) for r in graph.lineage_edges(rows).collect()} == {(2, 1), (3, 1), (4, 1), (3, 2), (4, 2)}
-    assert graph.merge_overlapping([("a", {1, 2, 3}), ("b", {1, 2, 3, 4}), ("c", {9})]) == [{1, 2, 3, 4}, {9}]
+    assert graph.merge_overlapping([("a", {1, 2, 3}), ("x", {7, 8, 9}), ("b", {1, 2, 3, 4}), ("c", {9})]) == [{1, 2, 3, 4}, {7, 8, 9}]
 
 
 def test_latest_wins_and_appends(spark):
@@ -116,11 +115,12 @@ def test_knn_blocks_agree(spark, monkeypatch):
     assert {tuple(r) for r in retrieval.knn(v, q, 3).select("query_id", "id", "rank").collect()} == want
 
 
-def test_chunks_cover_the_text():
+def test_chunks():
     t = ("A sentence here. Another one there!\n\n" * 300)[:9000]
-    parts = retrieval.chunks(t, 2000, 200)
-    assert parts[0][0] == 0 and parts[-1][1] == len(t) and all(b > a2 for (_, b), (a2, _) in zip(parts, parts[1:], strict=False))
-    assert retrieval.chunks("short") == [(0, 5)] and difflib
+    parts = retrieval.chunks(t, 2000, 600)
+    assert [a for a, _ in parts] == list(range(0, 9000, 1400))[: len(parts)] and parts[-1][1] == len(t)
+    assert all(t[b - 2 : b] == "\n\n" for _, b in parts[:-1]) and retrieval.chunks("short") == [(0, 5)] and retrieval.chunks("") == [(0, 0)]
+    assert retrieval.find_boundary("aa! bb. cc? dd", 0, 14) == 8 and retrieval.find_boundary("aaaa", 0, 4) == 4
 
 
 def test_decisions(spark):
@@ -149,3 +149,23 @@ def test_metrics(spark):
     assert got == {1: (0.0, 1.0, 0.5, 1.0), 2: (0.0, 0.0, 0.25, 0.0), 3: (0.0, 0.0, 0.0, 0.0)}
     sets = spark.createDataFrame([("g", 1, "a"), ("g", 2, "a"), ("g", 2, "b"), ("h", 1, "x")], "g string, m long, i string")
     assert {r["g"]: r["consistency"] for r in quality.mean_pairwise_jaccard(sets, "g", "m", "i").collect()} == {"g": 0.5, "h": 1.0}
+
+
+def test_memory_cases(spark):
+    claim = lambda i, cites, mode="fact": (i, cites, mode)
+    good = ([claim("a", ["e1"])], False, True)
+    stale = ([claim("a", ["e2"]), claim("old", [])], False, False)
+    rows = [
+        ("c1", "f", [("e1", True), ("e2", False)], ["a"], ["old"], {"a": ["e1"]}, True, True, [good, stale]),
+        ("c2", "f", [], [], [], {}, False, False, [([], True, False), ([], True, False)]),
+    ]
+    got = {r["id"]: r for r in quality.memory_quality(spark.createDataFrame(rows, quality.MEMORY_CASE)).collect()}
+    assert all(got["c2"][m] == 1.0 for m in (*quality.MEMORY_METRICS, "cross_tool_consistency"))
+    want = {"truth_precision": 0.5, "current_recall": 1.0, "stale_exclusion": 0.5, "citation_coverage": 0.75, "citation_validity": 1.0, "conflict_honesty": 0.5, "abstention_accuracy": 1.0, "cross_tool_consistency": 0.5}
+    assert {m: got["c1"][m] for m in want} == want
+
+
+def test_leaks(spark):
+    ranked = spark.createDataFrame([(1, 10, 1), (1, 11, 12)], "query_id long, id long, rank int")
+    bad = spark.createDataFrame([(1, 11), (2, 5)], "query_id long, id long")
+    assert {r["query_id"]: r["leak"] for r in quality.leaks(ranked, bad).collect()} == {1: False, 2: False}
