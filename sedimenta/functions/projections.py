@@ -110,3 +110,47 @@ def next_monthly(anchor: Column, now: Column, months: int = 1, most: int = 2400)
     steps = F.greatest(F.lit(0), F.ceil(F.months_between(now, anchor) / months).cast("int"))
     walk = F.aggregate(F.sequence(F.lit(1), F.least(steps + 1, F.lit(most))), anchor, lambda d, _: F.when(d < now, F.add_months(d, F.lit(months))).otherwise(d))
     return F.when(anchor >= now, anchor).otherwise(walk)
+
+
+# Caps of an extraction's surface.
+SUMMARY_CHARS, FACTS, FACT_CHARS, ENTITIES, RELATIONS = 400, 10, 300, 20, 20
+COMPACT_SUMMARY, COMPACT_ENTITIES, COMPACT_EDGES = 280, 5, 5
+
+
+def cap_extraction(extraction: Column) -> Column:
+    """An extraction struct (summary, salient_facts, entities, relations, ...) within its caps; other fields stay."""
+    return (
+        extraction.withField("summary", F.left(extraction["summary"], F.lit(SUMMARY_CHARS)))
+        .withField("salient_facts", F.transform(F.slice(extraction["salient_facts"], 1, FACTS), lambda x: F.left(x, F.lit(FACT_CHARS))))
+        .withField("entities", F.slice(extraction["entities"], 1, ENTITIES))
+        .withField("relations", F.slice(extraction["relations"], 1, RELATIONS))
+    )
+
+
+def enriched_text(base: Column, extracted: Column, summary: Column, facts: Column) -> Column:
+    """The searchable text once an event is understood: its own, what was extracted, the summary, the facts, a line each."""
+    some = lambda c: F.nullif(F.trim(c), F.lit(""))
+    return F.concat_ws("\n", some(base), some(extracted), some(summary), F.filter(facts, lambda x: F.trim(x) != ""))
+
+
+def embedding_text(payload: Column, extraction: Column, entity_names: Column) -> Column:
+    """What an event is embedded by; `(empty event)` where nothing is there."""
+    parts = [field(payload, n) for n in ("text", "context", "filename_hint", "action", "subject", "result")]
+    more = [field(extraction, n) for n in ("extracted_text", "summary")]
+    names = F.nullif(F.array_join(entity_names, ", "), F.lit(""))
+    return F.coalesce(F.nullif(F.concat_ws("\n", *parts, *more, names), F.lit("")), F.lit("(empty event)"))
+
+
+def shape(extraction: Column, entities: Column, edges: Column, surprise: Column, temporal_class: Column, compact: bool = True) -> Column:
+    """JSON of what a hit shows of its interpretation; null parts are left out, and nulls of an edge's validity too.
+
+    Compact: kind, a short summary, few entities and edges. Else the surface keys, raw entities only where no canonical ones are known.
+    """
+    kind, summary = field(extraction, "best_guess_kind"), field(extraction, "summary")
+    none = lambda a: F.when(F.size(a) > 0, a)
+    if compact:
+        parts = [kind.alias("best_guess_kind"), F.left(summary, F.lit(COMPACT_SUMMARY)).alias("summary"), none(F.slice(entities, 1, COMPACT_ENTITIES)).alias("canonical_entities"), none(F.slice(edges, 1, COMPACT_EDGES)).alias("entity_edges")]
+    else:
+        raw = F.when(F.coalesce(F.size(entities), F.lit(0)) <= 0, F.get_json_object(extraction, "$.entities"))
+        parts = [kind.alias("best_guess_kind"), summary.alias("summary"), raw.alias("entities"), F.get_json_object(extraction, "$.salient_facts").alias("salient_facts"), none(entities).alias("canonical_entities"), none(edges).alias("entity_edges")]
+    return F.nullif(F.to_json(F.struct(*parts, surprise.alias("surprise_score"), temporal_class.alias("temporal_class"))), F.lit("{}"))

@@ -28,3 +28,13 @@ def append_new(log: DataFrame, new: DataFrame, keys: list[str], order: list[Colu
     """The rows of `new` to append: the first of each key, none that the log has."""
     first = latest_n(new, keys, order, 1) if order else new.dropDuplicates(keys)
     return first.join(log.select(*keys), keys, "left_anti")
+
+
+def exact_over_cluster(exact: DataFrame, cluster: DataFrame, members: DataFrame, order: list[str | Column]) -> DataFrame:
+    """(synthesis, digest, verdict): the latest review of a point for its synthesis, else the latest for its cluster.
+
+    exact (synthesis, digest, verdict, ...), cluster (cluster_id, digest, verdict, ...), members (synthesis, cluster_id).
+    """
+    own = latest_by(exact, ["synthesis", "digest"], order, ["verdict"])
+    wide = members.join(latest_by(cluster, ["cluster_id", "digest"], order, ["verdict"]), "cluster_id").select("synthesis", "digest", F.col("verdict").alias("_wide"))
+    return own.join(wide, ["synthesis", "digest"], "full_outer").select("synthesis", "digest", F.coalesce("verdict", "_wide").alias("verdict"))

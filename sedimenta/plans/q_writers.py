@@ -172,3 +172,24 @@ def coverage_report(spark, sf_dir):
     hits = d.select(F.col("source").alias("query_id"), "at_seconds", (F.col("quality") == 0).alias("invalidated"), (F.col("toxic") == 1).alias("unresolved"), F.lit(0).alias("low_edges"))
     out = recall.coverage(hits, epoch_of(AS_OF))
     return out.select("query_id", "hits", "invalidated", "unresolved", F.when(F.col("newest").isNotNull(), F.array_contains("caveats", "stale")).alias("stale"))
+
+
+@query("embedding_text", """SELECT event_id, CASE WHEN event_type = 'error' THEN '(empty event)' ELSE event_type || chr(10) || 'u' || user_id || ', ' || 'v' END AS text FROM events""")
+def embedding_text(spark, sf_dir):
+    bad = F.col("event_type") == "error"
+    payload = F.when(bad, "{}").otherwise(F.to_json(F.struct(F.col("event_type").alias("action"), F.lit("").alias("result"))))
+    names = F.when(bad, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("u"), F.col("user_id").cast("string")), F.lit("v")))
+    return read(spark, sf_dir, "events").select("event_id", P.embedding_text(payload, F.lit("{}"), names).alias("text"))
+
+
+@query("key_point_reviews", """WITH x AS (SELECT l_orderkey % 500 AS synthesis, l_linenumber AS digest, l_returnflag AS verdict, l_shipdate AS t, l_partkey AS id FROM lineitem WHERE l_linenumber <= 3), e AS (SELECT synthesis, digest, arg_max(verdict, (t, id, verdict)) AS v FROM x GROUP BY 1, 2),
+y AS (SELECT (l_orderkey % 500) // 10 AS cluster_id, l_linenumber AS digest, l_linestatus AS verdict, l_shipdate AS t, l_partkey AS id FROM lineitem WHERE l_linenumber >= 3), c AS (SELECT cluster_id, digest, arg_max(verdict, (t, id, verdict)) AS v FROM y GROUP BY 1, 2),
+m AS (SELECT DISTINCT l_orderkey % 500 AS synthesis, (l_orderkey % 500) // 10 AS cluster_id FROM lineitem), w AS (SELECT synthesis, digest, v FROM m JOIN c USING (cluster_id))
+SELECT COALESCE(e.synthesis, w.synthesis) AS synthesis, COALESCE(e.digest, w.digest) AS digest, COALESCE(e.v, w.v) AS verdict FROM e FULL JOIN w ON e.synthesis = w.synthesis AND e.digest = w.digest""")
+def key_point_reviews(spark, sf_dir):
+    from sedimenta.operators.latest import exact_over_cluster
+
+    li = read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 500).alias("synthesis"), F.expr("(l_orderkey % 500) div 10").alias("cluster_id"), F.col("l_linenumber").alias("digest"), "l_returnflag", "l_linestatus", F.col("l_shipdate").alias("t"), F.col("l_partkey").alias("id"))
+    exact = li.where("digest <= 3").select("synthesis", "digest", F.col("l_returnflag").alias("verdict"), "t", "id")
+    cluster = li.where("digest >= 3").select("cluster_id", "digest", F.col("l_linestatus").alias("verdict"), "t", "id")
+    return exact_over_cluster(exact, cluster, li.select("synthesis", "cluster_id").distinct(), ["t", "id", "verdict"])

@@ -106,3 +106,19 @@ def test_recall_pages_and_empty_queries(spark):
     factors = spark.createDataFrame([(1, 1.0, True)], "id long, factor double, invalidated boolean")
     out = recall.recall(docs, q.where("query_id = 1"), "id", "text", "at", factors=factors, limit=1).collect()
     assert [r["id"] for r in out] == [2]
+
+
+def test_caps_and_shapes(spark):
+    import json
+
+    ex = F.struct(F.lit("s" * 500).alias("summary"), F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: F.repeat(F.lit("f"), F.lit(400))).alias("salient_facts"), F.sequence(F.lit(1), F.lit(30)).alias("entities"), F.sequence(F.lit(1), F.lit(3)).alias("relations"))
+    c = one(spark, P.cap_extraction(ex))
+    assert (len(c["summary"]), len(c["salient_facts"]), len(c["salient_facts"][0]), len(c["entities"]), len(c["relations"])) == (400, 10, 300, 20, 3)
+    edge = F.array(F.struct(F.lit("e").alias("id"), F.lit(None).cast("string").alias("valid_from")))
+    raw = F.lit('{"best_guess_kind":"note","summary":"s","entities":["x"]}')
+    none = F.array().cast("array<string>")
+    small = json.loads(one(spark, P.shape(raw, none, edge, F.lit(0.0), F.lit(None).cast("string"))))
+    assert small == {"best_guess_kind": "note", "summary": "s", "entity_edges": [{"id": "e"}], "surprise_score": 0.0}
+    full = json.loads(one(spark, P.shape(raw, none, edge, F.lit(None).cast("double"), F.lit("decaying"), compact=False)))
+    assert full["entities"] == '["x"]' and full["temporal_class"] == "decaying" and "surprise_score" not in full
+    assert one(spark, P.enriched_text(F.lit("a"), F.lit(" "), F.lit("b"), F.array(F.lit("c"), F.lit("")))) == "a\nb\nc"
