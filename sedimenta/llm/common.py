@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,34 @@ def written(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+_memories: dict[str, Callable[[], None]] = {}
+
+
+def sole_memory(name: str = "", forget: Callable[[], None] | None = None) -> None:
+    """Called where a task begins: a worker process that served another operator gives up what that one remembers across tasks."""
+    for other, f in _memories.items():
+        if other != name:
+            f()
+    if forget:
+        _memories[name] = forget
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A mapInArrow function whose worker gives freed memory back to the system when a task ends, for workers are kept and wait beside others."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return go
+
+
 def remainder(column: str, modulus: int) -> Column:
     """crc32 of the id as text modulo modulus; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % modulus

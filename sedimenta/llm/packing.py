@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import small_batches, table, written
+from sedimenta.llm.common import lean, small_batches, sole_memory, table, written
 
 CAPACITY, END_ID, BUCKETS = 4096, 1, 64
 
@@ -42,7 +42,8 @@ class FastIds:
     parts go through the whole tokenizer. Which parts are plain is decided so that both ways give the same ids.
     """
 
-    MOST = 400_000
+    #: Words and parts held each; some 200 bytes an entry.
+    MOST = 700_000
     # fixed values: the tokenizer's own pattern
     PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -81,6 +82,9 @@ class FastIds:
         return got
 
     def _part(self, part: bytes) -> bytes:
+        word = part.rstrip(b".,;:!?")  # most parts: a word and the marks after it, which are one piece
+        if word.isalpha() and word.isascii():
+            return self._word(word.lower().decode()) + (self._word(part[len(word) :].decode()) if len(word) < len(part) else b"")
         text = part.decode("utf-8", "replace")
         if self.plain(text):
             return b"".join(map(self._word, self.cut(unicodedata.normalize("NFC", text).lower())))
@@ -90,13 +94,14 @@ class FastIds:
         """Little-endian 32-bit ids of a UTF-8 text."""
         if not self.safe:
             return self._ids(self.tool.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids)
-        get, out = self.parts.get, []
-        for part in text.split():
-            if (ids := get(part)) is None:
-                if len(self.parts) >= self.MOST:
-                    self.parts.clear()
-                ids = self.parts[part] = self._part(part)
-            out.append(ids)
+        parts = text.split()
+        out = list(map(self.parts.get, parts))
+        if None in out:
+            for k, ids in enumerate(out):
+                if ids is None:
+                    if len(self.parts) >= self.MOST:
+                        self.parts.clear()
+                    out[k] = self.parts[parts[k]] = self._part(parts[k])
         return b"".join(out)
 
 
@@ -119,6 +124,7 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
     schema = _PIECES.append(pa.field("ids", pa.list_(pa.int32()))) if with_ids else _PIECES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_memory("tokens", _tools.clear)
         tool = fast_ids(tokenizer)
         for batch in batches:
             rows = []
@@ -133,7 +139,7 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
 
     small_batches(docs.sparkSession)
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, tie long" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, kinds)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(lean(run), kinds)
 
 
 # ---------------------------------------------------------------- the packing of lengths
