@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from sedimenta.functions.ids import canonical_json
 from sedimenta.operators.latest import append_new
 
-SOURCES = ("chatgpt", "claude", "obsidian", "notion", "files")
 MAX_ITEMS, MAX_ITEM_BYTES, MAX_TOTAL_BYTES = 500, 100_000, 8_000_000
 
 

@@ -36,7 +36,7 @@ def test_predicates(spark, p, crisp, durable):
     assert one(spark, text.predicate_is_crisp(F.lit(p))) == crisp and one(spark, text.predicate_is_durable(F.lit(p))) == durable
 
 
-@pytest.mark.parametrize(("name", "want"), [("DEV-69", True), ("/admin/signups", True), ("./scripts", True), ("docs/self-hosting.md", True), ("operations.md", True), ("fly.dev.toml", True), ("maxime.team", False), ("Ada Lovelace", False), ("", False)])
+@pytest.mark.parametrize(("name", "want"), [("AB-12", True), ("/a/b", True), ("./bin", True), ("docs/x-y.md", True), ("notes.md", True), ("site.dev.toml", True), ("example.team", False), ("Ada Lovelace", False), ("", False)])
 def test_structural_names(spark, name, want):
     assert one(spark, text.is_structural_name(F.lit(name))) == want
 
