@@ -105,7 +105,7 @@ _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
     if len(_powers[0]) < n:
-        m = max(n, 1 << 20)
+        m = max(n, 1 << 18)
         up, down = np.full(m, _P, np.uint64), np.full(m, _PINV, np.uint64)
         up[0] = down[0] = 1
         _powers = np.multiply.accumulate(up), np.multiply.accumulate(down)
@@ -134,7 +134,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offs
 
 
-def slices(offs: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(offs: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Row ranges of at most about `most` bytes, one row at least."""
     n, i = len(offs) - 1, 0
     while i < n:

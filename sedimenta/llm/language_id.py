@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import _LETTER, buffers, clean_name, mix, remainder, slices, small_batches, table, word_spans
+from sedimenta.llm.common import _LETTER, buffers, clean_name, lean, mix, remainder, slices, small_batches, sole_memory, table, word_spans
 
 #: Bound of the training sample: documents per language, characters of a document in it, sequences of SEQUENCE words.
 SAMPLE_DOCS, SAMPLE_CHARS, SEQUENCES, SEQUENCE, EPOCHS = 120, 100_000, 1600, 64, 4
@@ -252,13 +252,14 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     columns_, text_at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_memory()
         own = Model(*sent.value) if sent.value else None
         for b in batches:
             letter = np.array(b.column(len(columns_)).fill_null(False).to_pylist(), bool)
             langs, scores = ["und"] * b.num_rows, [0.0] * b.num_rows
             if own:
                 data, offs = buffers(b.column(text_at))
-                for i, j in slices(offs, 1 << 19):
+                for i, j in slices(offs, 1 << 18):
                     shares = own.shares(data, offs[i : j + 1])
                     best = shares.argmax(axis=1)
                     for k in range(i, j):
@@ -268,7 +269,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(langs), pa.array(scores, pa.float64())], names=[*columns_, *names])
 
     flagged = docs.withColumn(flag, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    return flagged.mapInArrow(run, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields) + f"`{names[0]}` string, `{names[1]}` double")
+    return flagged.mapInArrow(lean(run), "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields) + f"`{names[0]}` string, `{names[1]}` double")
 
 
 def keep_known(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:

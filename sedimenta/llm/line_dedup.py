@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import SPACES, clean_name, small_batches, table, written
+from sedimenta.llm.common import SPACES, clean_name, lean, small_batches, sole_memory, table, written
 
 MIN_CHARS, MIN_DOCS, SHARD_KEYS, BROADCAST_BYTES = 40, 5, 1 << 18, 48 << 20
 _NONE = -(1 << 63)
@@ -123,6 +123,7 @@ def count_lines(docs: DataFrame, min_chars: int = MIN_CHARS, flush: int = 300_00
     """(high, low, docs, keeper) of every line key: in how many documents, and the largest doc_id among them (null ids are least)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_memory()
         seen: dict[bytes, list[int]] = {}
 
         def out() -> pa.RecordBatch:
@@ -145,7 +146,7 @@ def count_lines(docs: DataFrame, min_chars: int = MIN_CHARS, flush: int = 300_00
         if seen:
             yield out()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "high long, low long, docs long, keeper long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(lean(run), "high long, low long, docs long, keeper long")
     return rows.groupBy("high", "low").agg(F.sum("docs").alias("docs"), F.max("keeper").alias("keeper"))
 
 
@@ -241,7 +242,7 @@ def _by_broadcast(docs: DataFrame, arrays: DataFrame, shards: int, min_chars: in
             columns[text_at] = pa.array(kept, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*batch.schema.names, *names])
 
-    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, _out_fields(docs, names))
+    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(lean(run), _out_fields(docs, names))
 
 
 def _by_shard(docs: DataFrame, arrays: DataFrame, shards: int, min_chars: int, names: list[str]) -> DataFrame:

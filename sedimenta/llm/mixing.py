@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import WORD, small_batches, table, written
+from sedimenta.llm.common import WORD, lean, small_batches, table, written
 
 WEIGHTS, SHARE, REPEAT, BLOCK, SLOTS, BUCKETS, SEED = (3, 1, 2), 1.5, 2, 512, 4096, 64, 1
 
@@ -278,7 +278,7 @@ def _cut(joined: DataFrame, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=own_names)
 
     small_batches(docs.sparkSession)
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(lean(run), docs.schema)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import buffers, clean_name, mix, slices, small_batches, table, word_hashes, written
+from sedimenta.llm.common import buffers, clean_name, lean, mix, slices, small_batches, sole_memory, table, word_hashes, written
 
 WORDS, NUM, DEN, SYMBOLS, CHUNK, SEED = 5, 80, 100, 80, 5, 77
 #: Signatures further apart than this are not confirmed: a pair at 0.8 is that far with a chance under 1e-9.
@@ -100,6 +100,7 @@ def profile(docs: DataFrame, words: int, symbols: int = SYMBOLS) -> DataFrame:
     """(doc_id, n, set_hi, set_lo, sig) of every row; set_hi and set_lo are equal just for equal sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_memory()
         for batch in batches:
             data, offs = buffers(batch.column(1))
             n, hi, lo, sigs = [], [], [], []
@@ -113,7 +114,7 @@ def profile(docs: DataFrame, words: int, symbols: int = SYMBOLS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), wide(hi), wide(lo), pa.array(sigs, pa.binary())], names=["doc_id", "n", "set_hi", "set_lo", "sig"])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")).mapInArrow(run, "doc_id long, n long, set_hi long, set_lo long, sig binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")).mapInArrow(lean(run), "doc_id long, n long, set_hi long, set_lo long, sig binary")
 
 
 def bucket_rows(classes: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -127,7 +128,7 @@ def bucket_rows(classes: DataFrame, chunk: int = CHUNK) -> DataFrame:
             keys = chunk_keys(sig, chunk)
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), keys.shape[1])))], names=["key", "id"])
 
-    return classes.select("id", "sig").mapInArrow(run, "key long, id long")
+    return classes.select("id", "sig").mapInArrow(lean(run), "key long, id long")
 
 
 def near_enough(pairs: DataFrame, sigs: DataFrame, far: int = FAR) -> DataFrame:
@@ -144,7 +145,7 @@ def near_enough(pairs: DataFrame, sigs: DataFrame, far: int = FAR) -> DataFrame:
     one = sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"), F.col("n").alias("n_a"))
     two = sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("n").alias("n_b"))
     both = pairs.join(one, "a").join(two, "b").where(F.least("n_a", "n_b") * DEN >= NUM * F.greatest("n_a", "n_b"))
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(lean(run), "a long, b long")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, words: int, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -189,7 +190,7 @@ def forest(edges: DataFrame) -> DataFrame:
                 tree.join(u, v)
         yield tree.stars(["u", "v"])
 
-    return edges.mapInArrow(run, "u long, v long")
+    return edges.mapInArrow(lean(run), "u long, v long")
 
 
 class Union:
@@ -305,7 +306,7 @@ def near_groups(open_: DataFrame, far: int = FAR) -> DataFrame:
                     tree.join(int(ids[k]), int(ids[x]))
         yield tree.stars(["a", "b"])
 
-    return components(by_tiles(open_, "key", KEY_TILE).mapInArrow(run, "a long, b long")).select("id", F.col("component").alias("g"))
+    return components(written(by_tiles(open_, "key", KEY_TILE).mapInArrow(lean(run), "a long, b long"), "stars")).select("id", F.col("component").alias("g"))
 
 
 def group_links(members: DataFrame, words: int, far: int = FAR, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -334,7 +335,7 @@ def group_links(members: DataFrame, words: int, far: int = FAR, num: int = NUM,
                         found.append((int(ids[k]), int(ids[x])))
             yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], names=["a", "b"])
 
-    return by_tiles(members, "g", TILE).mapInArrow(run, "a long, b long")
+    return by_tiles(members, "g", TILE).mapInArrow(lean(run), "a long, b long")
 
 
 def link_classes(classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
@@ -359,7 +360,7 @@ def link_classes(classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     if not grouped.head(1):
         return found
     members = grouped.join(found, "id", "left").select("g", "id", F.coalesce("component", "id").alias("c")).join(light, "id").join(texts, "id")
-    more = group_links(members.select("g", "id", "c", "n", "sig", "text"), words)
+    more = written(group_links(members.select("g", "id", "c", "n", "sig", "text"), words), "links")
     return written(components(links.union(more)), "components")
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import buffers, remainder, slices, small_batches, table, word_hashes, written
+from sedimenta.llm.common import buffers, lean, remainder, slices, small_batches, table, word_hashes, written
 
 WORD_SHARE, GRAM_SHARE, LEAST, DISCOUNT, GAIN = 5e-5, 5e-6, 5, 0.75, 6.0
 BLOCK_BYTES = 8 << 20
@@ -72,7 +72,7 @@ def _counts(texts: DataFrame, codes_of) -> DataFrame:
             for at in range(0, len(codes), 200_000):
                 yield pa.RecordBatch.from_arrays([pa.array(codes[at : at + 200_000].view(np.int64)), pa.array(n[at : at + 200_000].astype(np.int64))], names=["code", "n"])
 
-    return texts.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(lean(run), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def _find(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -244,7 +244,7 @@ def score(docs: DataFrame, tree: Tree, vocabulary: DataFrame, block_bytes: int =
                 part = codes[at : at + 200_000]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), b, np.int64)), pa.array(part)], names=["block", "code"])
 
-    answers = blocked.mapInArrow(asked, "block long, code long").join(vocabulary, "code").select("block", "code", "n")
+    answers = blocked.mapInArrow(lean(asked), "block long, code long").join(vocabulary, "code").select("block", "code", "n")
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         tree = sent.value
