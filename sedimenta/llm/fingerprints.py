@@ -8,6 +8,8 @@ bucket are numbered and the number becomes part of the fingerprint.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from sedimenta.llm.common import scratch_dir, table, written
 
 #: Hashes of copies that are compared by broadcast; more go by a shuffled join.
 BROADCAST_HASHES = 500_000
-BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 20_000
+BUCKET_BYTES, MOST_BUCKETS, _LEAST = 8 << 20, 20_000, -(1 << 63)
 
 
 def canonical(text: Column) -> Column:
@@ -41,7 +43,9 @@ def collided(texts: DataFrame) -> DataFrame:
 
     Least and greatest text are taken before the shuffle, so a bucket with a third of all rows sends one row a task.
     """
-    bad = texts.groupBy("hash").agg(F.min("folded").alias("least"), F.max("folded").alias("most")).where("least != most").select("hash")
+    bad = written(texts.groupBy("hash").agg(F.min("folded").alias("least"), F.max("folded").alias("most")).where("least != most").select("hash"), "fingerprint-buckets")
+    if not bad.head(1):  # the rule: then no text is dealt by its hash
+        return bad.select("hash", F.lit("").alias("folded"), F.lit(0).alias("number"))
     each = texts.join(bad, "hash", "left_semi").groupBy("hash", "folded").agg(F.lit(1).alias("one"))
     return each.select("hash", "folded", (F.row_number().over(Window.partitionBy("hash").orderBy("folded")) - 1).alias("number"))
 
@@ -80,19 +84,38 @@ def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
     ids = docs.select(F.col("doc_id").cast("long").alias("id"))
     bounds = sorted(set(ids.agg(F.percentile_approx("id", [k / n for k in range(1, n)], 10_000)).first()[0] or [])) if n > 1 else []
     # range 0 holds the largest ids; nulls stand in the last
-    place = lambda c: F.coalesce(F.lit(len(bounds)) - F.array_size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= c)), F.lit(len(bounds))) if bounds else F.lit(0)
-    tops = ids.select(place(F.col("id")).alias("range"), "id").groupBy("range").agg(F.max("id").alias("top"), F.count(F.lit(1)).alias("n")).orderBy("range").collect()
+    place = lambda c: F.coalesce(F.lit(len(bounds)) - _at_most(c, bounds), F.lit(len(bounds)))
+    tops = ids.select(place(F.col("id")).alias("range"), "id").groupBy("range").agg(F.max("id").alias("top")).orderBy("range").collect()
     if not tops:
         return docs.select("*", *[F.col(c).alias(f"next_{c}") for c in carried])
-    before = {tops[k]["range"]: tops[k - 1]["range"] for k in range(len(tops))}  # of the first: the last
-    send = F.create_map(*[x for r in tops for x in (F.lit(r["range"]), F.struct(F.lit(r["top"]).cast("long").alias("top"), F.lit(before[r["range"]]).alias("to")))])
-    to = F.element_at(send, F.col("_range"))
-    rows = docs.withColumn("_range", place(F.col("doc_id").cast("long"))).withColumn("_to", F.when(to["top"].eqNullSafe(F.col("doc_id").cast("long")), to["to"]))
-    rows = rows.withColumn("_go", F.explode(F.when(F.col("_to").isNull(), F.array(F.struct(F.col("_range").alias("range"), F.lit(0).alias("extra")))).otherwise(
-        F.array(F.struct(F.col("_range").alias("range"), F.lit(0).alias("extra")), F.struct(F.col("_to").alias("range"), F.lit(1).alias("extra"))))))
+    top, before = [_LEAST] * (len(bounds) + 1), [-1] * (len(bounds) + 1)
+    for k, r in enumerate(tops):
+        top[r["range"]] = _LEAST if r["top"] is None else r["top"]
+        before[r["range"]] = tops[k - 1]["range"]  # before the first: the last
+    own = F.struct(F.col("_range").alias("range"), F.lit(0).alias("extra"))
+    first = (F.get(_longs(top), F.col("_range")) == F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST))) & (F.get(_longs(before), F.col("_range")) >= 0)
+    also = F.struct(F.get(_longs(before), F.col("_range")).cast("int").alias("range"), F.lit(1).alias("extra"))
+    rows = docs.withColumn("_range", place(F.col("doc_id").cast("long")).cast("int"))
+    rows = rows.withColumn("_go", F.explode(F.when(first, F.array(own, also)).otherwise(F.array(own))))
     order = Window.partitionBy(F.col("_go.range")).orderBy(F.col("_go.extra"), F.col("doc_id").desc_nulls_last(), _tie(F.col("text")), F.col("text"))
     rows = rows.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in carried])
-    return rows.where("_go.extra = 0").drop("_range", "_to", "_go")
+    return rows.where("_go.extra = 0").drop("_range", "_go")
+
+
+def _longs(values: list[int]) -> Column:
+    """A constant array, folded when the plan is made."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def _at_most(value: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are not above value: first among every g-th, then within that stretch, so 2 sqrt(n) steps."""
+    if not bounds:
+        return F.when(value.isNotNull(), F.lit(0))
+    g = max(1, math.isqrt(len(bounds)))
+    below = lambda array: F.array_size(F.filter(array, lambda b: b <= value))
+    k = below(_longs(bounds[::g]))
+    stretch = F.slice(_longs(bounds), (k - 1) * g + 1, F.lit(g))
+    return F.when(value.isNull(), None).when(k == 0, 0).otherwise((k - 1) * g + below(stretch))
 
 
 def _ranges(docs: DataFrame) -> int:
