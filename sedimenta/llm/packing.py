@@ -2,9 +2,9 @@
 
 Documents become pieces of token ids. Only the number of pieces of each length (at most `capacity` numbers, at any corpus size) comes to
 the driver, where the packing is found on lengths with multiplicities: first the reduction of Martello and Toth fixes sets that provably
-dominate all others for their largest piece (a partner that fills the sequence, the largest partner where no two others fit beside it, a
-pair that no other pair beats), then best fit in decreasing order packs the rest in bulk. The result is a list of rank ranges by length,
-bounded by the capacity too; pieces get their rank among equal lengths by bucketed prefix sums and look up their place.
+dominate all others beside some piece (see reduce), then best fit in decreasing order packs the rest in bulk. The result is a list of
+rank ranges by length, bounded by the capacity too; pieces get their rank among equal lengths by bucketed prefix sums and look up their
+place.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.llm.common import lean, small_batches, sole_memory, table, written
 
-CAPACITY, END_ID, BUCKETS = 4096, 1, 64
+CAPACITY, END_ID, BUCKET_ROWS = 4096, 1, 50_000
 
 
 def default_tokenizer() -> str:
@@ -176,9 +176,11 @@ class Plan:
 def reduce(plan: Plan) -> int:
     """Fixes dominating sets until none is found; returns the pieces fixed.
 
-    With w the largest length left and c the capacity: alone if the smallest does not fit beside it; with a partner of c - w (an exact fill
-    dominates every other set, for any w); with its largest fitting partner if the two smallest others do not fit together; with a pair that
-    fills exactly if no three others fit.
+    A set P beside a piece w dominates another feasible set A if A falls into parts, each no longer than a piece of P of its own: pieces
+    can then change places and w stands with P. For w with room r = c - w, whatever its rank among the lengths: a partner of just r
+    dominates every set; if at most two others fit into r, the set of the longest fitting piece p1 and the longest p2 that fits beside it
+    dominates if each feasible pair (a, b) has b <= p2 or a + b <= p1. Taking pieces away leaves fewer sets to dominate, so a set is fixed
+    as often as its pieces allow. Lengths are tried from the longest until a whole round fixes nothing.
     """
     c, before = plan.capacity, sum(plan.left.values())
     for w in sorted(plan.left, reverse=True):  # exact fills by one: for every length, in bulk
@@ -190,49 +192,39 @@ def reduce(plan: Plan) -> int:
             n = plan.left[w] // 2 if w == x else min(plan.left[w], plan.left[x])
             if n:
                 plan.fix([w, x], n)
-    sizes = sorted(k for k, n in plan.left.items() if n)
-    while sizes:
-        w = sizes[-1]
-        n = plan.left[w]
-        others = [(k, plan.left[k] - (k == w)) for k in sizes[:3] if plan.left[k] - (k == w) > 0]
-        low = [k for k, m in others for _ in range(min(m, 3))][:3]
-        room = c - w
-        if not low or low[0] > room:
-            plan.fix([w], n)  # nothing fits beside it
-        elif len(low) < 2 or low[0] + low[1] > room:
-            at = bisect.bisect_right(sizes, room) - 1
-            k = sizes[at]  # the largest partner; no two fit, so it dominates
-            if k == w:
-                m = n // 2
-            else:
-                m = min(n, plan.left[k])
-            if m < 1:
-                break
-            plan.fix([w, k], m)
-        elif len(low) < 3 or low[0] + low[1] + low[2] > room:
-            pair = _exact_pair(plan, sizes, w, room)
-            if pair is None:
-                break
-            m = 1 if w in pair else (min(n, plan.left[pair[0]] // 2) if pair[0] == pair[1] else min(n, *(plan.left[k] for k in pair)))
-            plan.fix([w, *pair], m)
-        else:
-            break
-        sizes = [k for k in sizes if plan.left[k]]
+    found = True
+    while found:
+        found = False
+        sizes = np.array(sorted(k for k, n in plan.left.items() if n), np.int64)
+        for w in sizes[::-1].tolist():
+            while plan.left[w] and (chosen := _dominating(plan, sizes, w)) is not None:
+                lengths = [w, *chosen]
+                plan.fix(lengths, min(plan.left[k] // lengths.count(k) for k in set(lengths)))
+                found = True
+                sizes = sizes[[plan.left[k] > 0 for k in sizes.tolist()]]
     return before - sum(plan.left.values())
 
 
-def _exact_pair(plan: Plan, sizes: list[int], w: int, room: int) -> tuple[int, int] | None:
-    """Two pieces that fill the room to the token, the largest first."""
-    lo, hi = 0, bisect.bisect_right(sizes, room) - 1
+def _dominating(plan: Plan, sizes: np.ndarray, w: int) -> list[int] | None:
+    """The lengths beside w of a set that dominates all others, None if three others fit or no such set is found. sizes: those left, sorted."""
+    room = plan.capacity - w
     have = lambda k: plan.left[k] - (k == w)
-    while lo <= hi:
-        s = sizes[lo] + sizes[hi]
-        if s == room and (have(sizes[lo]) >= 2 if lo == hi else have(sizes[lo]) >= 1 and have(sizes[hi]) >= 1):
-            return sizes[hi], sizes[lo]
-        if s < room or (s == room and have(sizes[lo]) < 1):
-            lo += 1
-        else:
-            hi -= 1
+    low = [k for k in sizes[:4].tolist() for _ in range(min(have(k), 3))][:3]
+    if not low or low[0] > room:
+        return []
+    if len(low) == 3 and sum(low) <= room:
+        return None
+    fit = sizes[: np.searchsorted(sizes, room, side="right")]
+    p1 = next(k for k in fit[::-1].tolist() if have(k) > 0)
+    beside = sizes[: np.searchsorted(sizes, room - p1, side="right")]
+    p2 = next((k for k in beside[::-1].tolist() if have(k) - (k == p1) > 0), 0)
+    # the longest b for each a <= p1; taking a piece twice where there is only one makes more sets than there are, which is safe
+    at = np.searchsorted(sizes, room - fit, side="right") - 1
+    a, b = fit[at >= 0], sizes[at[at >= 0]]
+    own = a <= p1
+    a, b = np.maximum(a, b)[own], np.minimum(a, b)[own]
+    if bool(((a <= p1) & ((b <= p2) | (a + b <= p1))).all()):
+        return [p1, p2] if p2 else [p1]
     return None
 
 
@@ -283,31 +275,39 @@ def pack(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
 # ---------------------------------------------------------------- pieces to places
 
 
-def assign(pieces: DataFrame, plan: Plan, buckets: int = BUCKETS) -> DataFrame:
-    """pieces with sequence_id and offset. Ranks within a length: bucket sums, then within the bucket, so a length with most pieces is many groups.
+def assign(pieces: DataFrame, plan: Plan, counts: dict[int, int], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """pieces with sequence_id and offset. Ranks within a length: bucket sums, then within the bucket; a length has a bucket for each
+    bucket_rows of its pieces, so groups stay small however many pieces share a length.
 
-    The ranges' number is bounded by the capacity, so they are broadcast.
+    What is broadcast has a row for each length (capacity at most) and the plan's ranges. Their number is bounded by the capacity too: a
+    fixed set uses up a length but for two pieces, a step of best fit uses up a group or its length, and only steps that use up their
+    length, but for less than a sequence holds of it, open or split groups.
     """
     spark = pieces.sparkSession
-    h = F.xxhash64("doc_id", "piece", "tie")
-    rows = pieces.withColumn("_h", h).withColumn("_b", F.pmod("_h", F.lit(buckets)))
+    several = spark.createDataFrame([(k, -(-n // bucket_rows)) for k, n in counts.items()], "length long, _buckets long")
+    rows = pieces.withColumn("_h", F.xxhash64("doc_id", "piece", "tie")).join(F.broadcast(several), "length").withColumn("_b", F.pmod("_h", "_buckets"))
     within = F.row_number().over(Window.partitionBy("length", "_b").orderBy("_h", "doc_id", "piece", "tie", "ids_crc32")) - 1
-    sums = pieces.withColumn("_b", F.pmod(h, F.lit(buckets))).groupBy("length", "_b").agg(F.count(F.lit(1)).alias("n"))
+    sums = rows.groupBy("length", "_b").agg(F.count(F.lit(1)).alias("n"))
     base = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = sums.select("length", "_b", base.alias("_base"))
-    ranked = rows.withColumn("_in", within).join(sums, ["length", "_b"]).withColumn("_rank", F.col("_in") + F.col("_base")).drop("_in", "_base", "_b", "_h")
-    by: dict[int, list] = {}
-    for length, first, end, per, seq, offset in plan.ranges:
-        by.setdefault(length, []).append((first, end, per, seq, offset))
-    kind = "length long, ranges array<struct<first: long, end: long, per: long, seq: long, offset: long>>"
-    places = spark.createDataFrame([(k, v) for k, v in by.items()], kind)
-    ranged = ranked.join(F.broadcast(places), "length")
-    # ranges of a length follow each other: the last whose first rank is not above
-    own = F.element_at(F.filter(F.col("ranges"), lambda r: (r["first"] <= F.col("_rank")) & (F.col("_rank") < r["end"])), 1)
-    out = ranged.withColumn("_r", own).drop("ranges")
-    nth = F.col("_rank") - F.col("_r.first")
-    seq = (F.col("_r.seq") + F.floor(nth / F.col("_r.per"))).cast("long")
-    return out.withColumn("sequence_id", seq).withColumn("offset", (F.col("_r.offset") + (nth % F.col("_r.per")) * F.col("length")).cast("long")).drop("_r", "_rank", "tie")
+    ranked = rows.withColumn("_in", within).join(sums, ["length", "_b"])
+    names = [c for c in pieces.columns if c != "tie"]
+    ranked = ranked.select(*names, (F.col("_in") + F.col("_base")).cast("long").alias("_rank"))
+    ranges = np.array(sorted(plan.ranges), np.int64).reshape(-1, 6)
+    shift = 62 - plan.capacity.bit_length()  # a rank stays below this power of two
+    sent = spark.sparkContext.broadcast(((ranges[:, 0] << shift) + ranges[:, 1], ranges))
+    at_length = names.index("length")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, table_ = sent.value
+        for b in batches:
+            length, rank = b.column(at_length).to_numpy(), b.column(len(names)).to_numpy()
+            _, first, _, per, seq, offset = table_[np.searchsorted(keys, (length << shift) + rank, side="right") - 1].T
+            nth = rank - first
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(seq + nth // per), pa.array(offset + nth % per * length)], names=[*names, "sequence_id", "offset"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema.fields if f.name != "_rank")
+    return ranked.mapInArrow(run, f"{kinds}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -318,7 +318,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
     """
     pieces = written(tokenize(docs, tokenizer or default_tokenizer(), capacity, end_id, with_ids), "pieces")
     counts = {int(r[0]): int(r[1]) for r in pieces.groupBy("length").count().collect()}  # capacity rows at most
-    return assign(pieces, pack(counts, capacity))
+    return assign(pieces, pack(counts, capacity), counts)
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

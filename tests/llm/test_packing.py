@@ -64,13 +64,31 @@ def test_plans_are_packings(lengths):
     assert len(bins) == plan.sequences
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.lists(st.integers(1, 12), max_size=8))
-def test_reduction_keeps_the_optimum(lengths):
-    plan = P.Plan(Counter(lengths), 12)
+def loss(lengths, capacity):
+    """Sequences that the reduction costs against the optimum."""
+    plan = P.Plan(Counter(lengths), capacity)
     P.reduce(plan)
     rest = [k for k, n in plan.left.items() for _ in range(n)]
-    assert plan.sequences + optimum(rest, 12) == optimum(lengths, 12)
+    return plan.sequences + optimum(rest, capacity) - optimum(lengths, capacity)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(20, 60).flatmap(lambda c: st.tuples(st.just(c), st.lists(st.integers(max(1, c // 6), c), max_size=11))))
+def test_reduction_keeps_the_optimum(case):
+    assert loss(case[1], case[0]) == 0
+
+
+@pytest.mark.parametrize(("capacity", "lengths"), [(25, [5, 7, 8, 9, 10, 10, 11, 12, 12, 15]), (20, [5, 5, 6, 7, 8, 8, 9, 9, 10, 11]), (10, [5, 5, 9, 1]), (20, [10, 10, 10, 5, 5, 5, 5]), (21, [7] * 7)])
+def test_an_exact_pair_alone_does_not_dominate(capacity, lengths):
+    assert loss(lengths, capacity) == 0
+
+
+def test_the_number_of_ranges_is_bounded_by_the_capacity():
+    rng = random.Random(2)
+    for most in (1, 3, 1000, 10**9):
+        for low in (1, 20, 70):
+            plan = P.pack({k: rng.randint(1, most) for k in range(low, 201)}, 200)
+            assert len(plan.ranges) <= 10 * 200
 
 
 def test_near_the_lower_bound():
