@@ -1,27 +1,34 @@
-"""A probabilistic suffix tree as language model.
-
-States are contexts of at most two words. The root holds the add-one unigram distribution over the whole training vocabulary, counted
-exactly however large it is (it stays distributed). Candidate contexts and their next words are those with at least a given share of all
-training tokens, found level by level, so their number is bounded by the inverse share at any corpus size. A context is kept if its
-next-word distribution diverges from its suffix's (count times Kullback-Leibler divergence above a bound). Kept distributions are
-discounted, and what is taken goes to the suffix state's distribution, so each sums to 1. A token is scored at the longest kept suffix.
+"""A probabilistic suffix tree as language model, kept in distributed tables.
+
+States are contexts of one to `depth` words (the order of the tree, as in its original form). A gram is a run of tokens inside a text;
+candidates are the grams that occur `least` times or more in training, an absolute number, so the tree grows with the corpus. They are
+counted level by level: a gram of k + 1 tokens can only be frequent if its first k and last k tokens are, which a bit filter of fixed size
+tells beforehand. The filter saves work and decides nothing: a gram it lets pass wrongly fails at its count. A context is retained if its
+next-token distribution diverges from the one of its suffix (count times Kullback-Leibler divergence of `gain` nats or more), and levels
+are added until none is. Retained distributions are discounted and leave the rest to the suffix state, so each sums to 1; the root is the
+add-one unigram distribution over all training tokens. A token is scored at the longest retained suffix.
+
+Nothing that grows with the corpus comes to the driver or is broadcast. Texts are dealt to blocks, and each block asks for the grams it
+holds once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import buffers, lean, remainder, slices, small_batches, table, word_hashes, written
+from sedimenta.llm.common import batches_of, buffers, lean, remainder, slices, table, word_hashes, written
 
-WORD_SHARE, GRAM_SHARE, LEAST, DISCOUNT, GAIN = 5e-5, 5e-6, 5, 0.75, 6.0
-BLOCK_BYTES = 8 << 20
+DEPTH, LEAST, DISCOUNT, GAIN = 3, 5, 0.75, 6.0
+#: Bits of the filter (16 MB), text of a block, codes that a task holds before it passes them on.
+FILTER_BITS, BLOCK_BYTES, HELD = 1 << 27, 16 << 20, 3_000_000
 END = np.uint64(0x5EED0F7E2D0FE4D5)
+_P = 0xD1342543DE82EF95
 
 
 def token_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -36,230 +43,256 @@ def token_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nda
     return out, first
 
 
-def _counting(rows, codes_of, most: int = 3_000_000):
-    """mapInArrow over (text, ...) batches: sums of codes_of(tokens, first) within the task, merged whenever they grow to `most`."""
-    held, total = [], 0
+def gram_codes(tokens: np.ndarray, order: int) -> np.ndarray:
+    """Codes of the grams of `order` tokens that begin at each token: powers of one factor, so that longer ones follow from shorter ones."""
+    n = max(0, len(tokens) - order + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(order):
+        out = out * np.uint64(_P) + tokens[k : k + n]
+    return out
 
-    def merged():
-        codes, n = np.concatenate([c for c, _ in held]), np.concatenate([n for _, n in held])
-        order = np.argsort(codes, kind="stable")
-        codes, n = codes[order], n[order]
-        at = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
-        return codes[at], np.add.reduceat(n, at)
 
-    for batch in rows:
-        data, offs = buffers(batch.column(0))
-        for i, j in slices(offs):
-            codes = codes_of(*token_hashes(data, offs[i : j + 1]))
-            if len(codes):
-                held.append(np.unique(codes, return_counts=True))
-                total += len(held[-1][0])
-        if total >= most:
-            held = [merged()]
-            total = len(held[0][0])
-            if total >= most // 2:
-                yield held[0]
-                held, total = [], 0
-    if held:
-        yield merged()
-
-
-def _counts(texts: DataFrame, codes_of) -> DataFrame:
-    """(code, n) of all rows of texts, summed in the tasks and then by code."""
+def whole(first: np.ndarray, n: int, order: int) -> np.ndarray:
+    """Which of the n grams that begin at each token lie inside one row."""
+    ok = np.ones(n, bool)
+    for k in range(1, order):
+        at = first[1:-1] - k
+        ok[at[(at >= 0) & (at < n)]] = False
+    return ok
+
+
+def passes(bits: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Whether the filter knows each code; positions are the low bits of the code."""
+    at = (codes & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def _uniques(codes: np.ndarray, rest: list[np.ndarray], n: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    order = np.argsort(codes, kind="stable")
+    codes, n = codes[order], n[order]
+    at = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    return codes[at], [x[order][at] for x in rest], np.add.reduceat(n, at)
+
+
+def _gathered(texts: DataFrame, columns_of: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], names: list[str], most: int = HELD) -> DataFrame:
+    """(code, n, other names) over all rows of texts: codes summed in the tasks, then by code. Equal codes have equal other columns."""
+    kinds = ", ".join(f"{c} long" for c in ["code", "n", *names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for codes, n in _counting(batches, codes_of):
-            for at in range(0, len(codes), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(codes[at : at + 200_000].view(np.int64)), pa.array(n[at : at + 200_000].astype(np.int64))], names=["code", "n"])
+        held: list[tuple[np.ndarray, list[np.ndarray], np.ndarray]] = []
+        total = 0
 
-    return texts.mapInArrow(lean(run), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+        def out(codes: np.ndarray, rest: list[np.ndarray], n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            columns = [codes.view(np.int64), n.astype(np.int64), *[x.view(np.int64) for x in rest]]
+            for at in range(0, len(codes), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[at : at + 200_000])) for x in columns], names=["code", "n", *names])
 
+        def merged() -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+            return _uniques(np.concatenate([c for c, _, _ in held]), [np.concatenate([r[k] for _, r, _ in held]) for k in range(len(names))], np.concatenate([n for _, _, n in held]))
 
-def _find(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Index of each value in a sorted array, -1 if it isn't there."""
-    if not len(sorted_):
-        return np.full(len(values), -1, np.int64)
-    at = np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)
-    return np.where(sorted_[at] == values, at, -1)
+        for batch in batches:
+            data, offs = buffers(batch.column(0))
+            for i, j in slices(offs):
+                codes, *rest = columns_of(*token_hashes(data, offs[i : j + 1]))
+                if len(codes):
+                    held.append(_uniques(codes, rest, np.ones(len(codes), np.int64)))
+                    total += len(held[-1][0])
+                if total >= most:
+                    held = [merged()]
+                    total = len(held[0][0])
+                    if total >= most // 2:
+                        yield from out(*held[0])
+                        held, total = [], 0
+        if held:
+            yield from out(*merged())
+
+    return batches_of(texts, lean(run), kinds).groupBy("code").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in names])
+
+
+def filter_bits(codes: DataFrame) -> np.ndarray:
+    """The filter of codes (code): bitmaps of 32768 bits each are made where the codes are; 16 MB at most come to the driver at any size."""
+    at = F.col("code").bitwiseAND(F.lit(FILTER_BITS - 1))
+    made = codes.groupBy(F.floor(at / 32768).alias("part")).agg(F.bitmap_construct_agg((at % 32768).cast("long")).alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for part, bits in zip(made.column(0).to_pylist(), made.column(1).to_pylist(), strict=True):
+        out[part * 4096 : part * 4096 + 4096] = np.frombuffer(bits, np.uint8)
+    return out
 
 
-@dataclass
 class Tree:
-    """Arrays of the kept states. words: sorted hashes of the frequent words with their counts; pairs: sorted a * len(words) + b with counts;
-    triples: sorted pair * len(words) + w with counts. rest1 and rest2: the mass that a state leaves to its suffix, NaN where no state is kept."""
-
-    words: np.ndarray
-    word_n: np.ndarray
-    pairs: np.ndarray
-    pair_n: np.ndarray
-    triples: np.ndarray
-    triple_n: np.ndarray
-    rest1: np.ndarray
-    rest2: np.ndarray
-    tokens: int
-    vocabulary: int
-    discount: float
-
-    def ids(self, tokens: np.ndarray) -> np.ndarray:
-        return _find(self.words, tokens)
-
-    def log10(self, ids: np.ndarray, counts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(base, model) log10 probabilities of all tokens; ids are those of the frequent words or -1, counts those of all."""
-        root = (counts + 1) / (self.tokens + 1.0 * (self.vocabulary + 1))
-        k = len(self.words)
-        a = np.full(len(ids), -1, np.int64)
-        a[1:] = ids[:-1]
-        a[first[:-1]] = -1  # no context over the start of a row
-        b = np.full(len(ids), -1, np.int64)
-        b[1:] = a[:-1]
-        b[first[:-1]] = -1
-        p = root.copy()
-        on = np.flatnonzero((a >= 0) & ~np.isnan(self.rest1[a] if k else np.full(len(a), np.nan)))
-        if len(on):
-            x, w = a[on], ids[on]
-            at = np.where(w >= 0, _find(self.pairs, x * k + w), -1)
-            own = np.where(at >= 0, (self.pair_n[at] - self.discount) / self.word_n[x], 0.0)
-            p[on] = own + self.rest1[x] * p[on]
-        both = np.flatnonzero((a >= 0) & (b >= 0))
-        if len(both) and len(self.pairs):
-            at = _find(self.pairs, b[both] * k + a[both])
-            keep = (at >= 0) & ~np.isnan(self.rest2[at])
-            both, at = both[keep], at[keep]
-            w = ids[both]
-            t = np.where(w >= 0, _find(self.triples, at * k + w), -1)
-            own = np.where(t >= 0, (self.triple_n[t] - self.discount) / self.pair_n[at], 0.0) if len(self.triples) else 0.0
-            p[both] = own + self.rest2[at] * p[both]
-        return np.log10(root), np.log10(p)
-
-
-def grow(words: np.ndarray, word_n: np.ndarray, pairs: np.ndarray, pair_n: np.ndarray, triples: np.ndarray, triple_n: np.ndarray, tokens: int, vocabulary: int, discount: float = DISCOUNT, gain: float = GAIN) -> Tree:
-    """Keeps the contexts that pass the divergence test, and works out the mass they leave to their suffixes."""
-    k = len(words)
-    tree = Tree(words, word_n, pairs, pair_n, triples, triple_n, np.full(k, np.nan), np.full(len(pairs), np.nan), tokens, vocabulary, discount)
-
-    def test(state: np.ndarray, n: np.ndarray, state_n: np.ndarray, parent: np.ndarray, states: int) -> np.ndarray:
-        """Rest mass of each state that passes. The next words that aren't listed count as one."""
-        p = n / state_n[state]
-        kl = np.bincount(state, p * np.log(p / parent), states)
-        other = np.maximum(0.0, 1 - np.bincount(state, p, states))
-        other_parent = np.maximum(1e-12, 1 - np.bincount(state, parent, states))
-        kl += np.where(other > 0, other * np.log(np.maximum(other, 1e-300) / other_parent), 0)
-        listed = np.bincount(state, (n - discount) / state_n[state], states)
-        return np.where((state_n * kl >= gain) & (np.bincount(state, minlength=states) > 0), np.clip(1 - listed, 1e-9, 1), np.nan)
-
-    if len(pairs):
-        a, w = pairs // k, pairs % k
-        root = (word_n + 1) / (tokens + 1.0 * (vocabulary + 1))
-        tree.rest1 = test(a, pair_n, word_n, root[w], k)
-    if len(triples):
-        q, w = triples // k, triples % k
-        b = pairs[q] % k
-        at = _find(pairs, b * k + w)
-        root = (word_n[w] + 1) / (tokens + 1.0 * (vocabulary + 1))
-        one = np.where(at >= 0, (pair_n[at] - discount) / word_n[b], 0) + np.where(np.isnan(tree.rest1[b]), 1, tree.rest1[b]) * root
-        parent = np.where(np.isnan(tree.rest1[b]), root, one)
-        tree.rest2 = test(q, triple_n, pair_n, parent, len(pairs))
-    return tree
-
-
-def _collected(counts: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of at least that count, sorted as unsigned; the share behind `least` bounds their number."""
-    rows = counts.where(F.col("n") >= least).toArrow()
-    codes, n = rows.column(0).to_numpy().astype(np.int64).view(np.uint64), rows.column(1).to_numpy().astype(np.int64)
+    """tables: one per order of grams, (code, n, rest): how often, and the mass that the gram as a context leaves to its suffix, null where
+    it isn't retained. The first has all words of the training texts, the others the candidates. bits: the filter of all candidates."""
+
+    def __init__(self, tables: list[DataFrame], bits: np.ndarray, tokens: int, vocabulary: int, discount: float):
+        self.tables, self.bits, self.tokens, self.vocabulary, self.discount = tables, bits, tokens, vocabulary, discount
+
+    @property
+    def depth(self) -> int:
+        return len(self.tables) - 1
+
+    def lookup(self) -> DataFrame:
+        out = self.tables[0]
+        for t in self.tables[1:]:
+            out = out.union(t)
+        return out
+
+
+def learn(texts: DataFrame, depth: int = DEPTH, least: int = LEAST, discount: float = DISCOUNT, gain: float = GAIN) -> Tree:
+    """A tree from texts (one binary column)."""
+    spark = texts.sparkSession
+    words = written(_gathered(texts, lambda tokens, first: [tokens], []), "vocabulary")
+    size, total = (int(x or 0) for x in words.agg(F.count(F.lit(1)), F.sum("n")).first())
+    none = F.lit(None).cast("double")
+    # alive: the candidates of the last order with the smoothed probability q of their last token after the others
+    alive = words.where(F.col("n") >= least).withColumn("q", (F.col("n") + 1) / F.lit(total + 1.0 * (size + 1)))
+    tables, bits = [words.withColumn("rest", none)], filter_bits(alive)
+    for order in range(1, depth + 1):
+        grams = _candidates(spark, texts, order + 1, bits, least)
+        level = _level(grams, alive, discount, gain)
+        tested = written(level.groupBy("prefix").agg(F.min("context_n").alias("n"), *_mass(discount)).select("prefix", "rest", (F.col("n") * F.col("kl") >= gain).alias("kept")), "contexts").where("kept").select("prefix", "rest")
+        if not tested.head(1):
+            break
+        tables[-1] = written(_with_rest(tables[-1], tested), "states")
+        smoothed = F.when(F.col("rest").isNotNull(), (F.col("n") - discount) / F.col("context_n") + F.col("rest") * F.col("q")).otherwise(F.col("q"))
+        alive = written(level.join(tested, "prefix", "left").select("code", "n", smoothed.alias("q")), "grams")
+        tables.append(alive.select("code", "n", none.alias("rest")))
+        bits = bits | filter_bits(alive)
+    return Tree(tables, bits, total, size, discount)
+
+
+def _with_rest(counts: DataFrame, tested: DataFrame) -> DataFrame:
+    return counts.drop("rest").join(tested.withColumnRenamed("prefix", "code"), "code", "left").select("code", "n", "rest")
+
+
+def _candidates(spark: SparkSession, texts: DataFrame, order: int, bits: np.ndarray, least: int) -> DataFrame:
+    """(code, n, prefix, suffix) of the grams of `order` tokens that occur `least` times. Codes alone are counted first; where the gram's
+    parts come from is asked for in a second pass, for the frequent ones only."""
+    sent = spark.sparkContext.broadcast(bits)  # of fixed size
+
+    def grams(tokens: np.ndarray, first: np.ndarray, own: Broadcast) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        parts = gram_codes(tokens, order - 1)
+        known = passes(own.value, parts)
+        at = np.flatnonzero(known[:-1] & known[1:] & whole(first, max(0, len(parts) - 1), order)) if len(parts) else np.zeros(0, np.int64)
+        return parts[at] * np.uint64(_P) + tokens[at + order - 1], parts[at], parts[at + 1]
+
+    counts = written(_gathered(texts, lambda tokens, first: [grams(tokens, first, sent)[0]], []).where(F.col("n") >= least), "counts")
+    found = spark.sparkContext.broadcast(filter_bits(counts))
+
+    def parts_of(tokens: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+        code, prefix, suffix = grams(tokens, first, sent)
+        keep = passes(found.value, code)
+        return [code[keep], prefix[keep], suffix[keep]]
+
+    return written(_gathered(texts, parts_of, ["prefix", "suffix"]).where(F.col("n") >= least), "candidates")
+
+
+def _level(grams: DataFrame, alive: DataFrame, discount: float, gain: float) -> DataFrame:
+    """grams with context_n, the count of the context, and q, the probability that the suffix state gives to the last token."""
+    contexts = alive.select(F.col("code").alias("prefix"), F.col("n").alias("context_n"))
+    return grams.join(contexts, "prefix").join(alive.select(F.col("code").alias("suffix"), "q"), "suffix")
+
+
+def _mass(discount: float) -> list:
+    """kl and rest of a context from its listed next tokens; those that aren't listed count as one."""
+    p = F.col("n") / F.col("context_n")
+    other, other_q = F.greatest(F.lit(0.0), 1 - F.sum(p)), F.greatest(F.lit(1e-12), 1 - F.sum("q"))
+    kl = F.sum(p * F.log(p / F.col("q"))) + F.when(other > 1e-12, other * F.log(other / other_q)).otherwise(0.0)
+    rest = F.least(F.lit(1.0), F.greatest(F.lit(1e-9), 1 - F.sum((F.col("n") - discount) / F.col("context_n"))))
+    return [kl.alias("kl"), rest.alias("rest")]
+
+
+def token_scores(tokens: np.ndarray, first: np.ndarray, find: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], tree_depth: int, bits: np.ndarray, total: int, vocabulary: int, discount: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(count, base, model) of all tokens, the last two as log10. find: codes -> (n, rest), 0 and NaN where there is none."""
+    n, rest = find(tokens)
+    counts = n
+    root = (n + 1) / (total + 1.0 * (vocabulary + 1))
+    p = root.copy()
+    parts = tokens
+    for order in range(1, tree_depth + 1):
+        # parts[i] begins at i and is the context of the token at i + order
+        longer = max(0, len(parts) - 1)
+        codes = parts[:longer] * np.uint64(_P) + tokens[order : order + longer]
+        at = np.flatnonzero(~np.isnan(rest[:longer]) & whole(first, longer, order + 1))
+        more = np.flatnonzero(passes(bits, codes)) if order < tree_depth else at[passes(bits, codes[at])]
+        gram_n, gram_rest = np.zeros(longer, np.int64), np.full(longer, np.nan)
+        gram_n[more], gram_rest[more] = find(codes[more])
+        own = np.where(gram_n[at] > 0, (gram_n[at] - discount) / n[at], 0.0)
+        p[at + order] = own + rest[at] * p[at + order]
+        parts, n, rest = codes, gram_n, gram_rest
+    return counts, np.log10(root), np.log10(p)
+
+
+def _finder(codes: np.ndarray, n: np.ndarray, rest: np.ndarray) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
     order = np.argsort(codes)
-    return codes[order], n[order]
-
-
-def learn(texts: DataFrame, word_share: float = WORD_SHARE, gram_share: float = GRAM_SHARE, least: int = LEAST) -> tuple[Tree, DataFrame]:
-    """(tree, vocabulary (code, n)) from texts (one binary column)."""
-    small_batches(texts.sparkSession)
-    context = texts.sparkSession.sparkContext
-    vocabulary = written(_counts(texts, lambda tokens, first: tokens), "vocabulary")
-    size, total = (int(x or 0) for x in vocabulary.agg(F.count(F.lit(1)), F.sum("n")).first())
-    words, word_n = _collected(vocabulary, max(least, word_share * total))
-    k = len(words)
-    none = np.zeros(0, np.int64)
-    if not k:
-        return grow(words, word_n, none, none, none, none, total, size), vocabulary
-    sent = context.broadcast(words)
-
-    def pair_codes(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-        ids = _find(sent.value, tokens)
-        ok = (ids[:-1] >= 0) & (ids[1:] >= 0)
-        ok[first[1:-1] - 1] = False
-        return (ids[:-1] * k + ids[1:])[ok].view(np.uint64)
-
-    bound = max(least, gram_share * total)
-    pairs, pair_n = _collected(_counts(texts, pair_codes), bound)
-    pairs = pairs.view(np.int64)
-    if not len(pairs):
-        return grow(words, word_n, none, none, none, none, total, size), vocabulary
-    sent_pairs = context.broadcast(pairs)
-
-    def triple_codes(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-        ids = _find(sent.value, tokens)
-        both = np.where((ids[:-1] >= 0) & (ids[1:] >= 0), ids[:-1] * k + ids[1:], -1)
-        both[first[1:-1] - 1] = -1
-        at = _find(sent_pairs.value, both)
-        at[both < 0] = -1
-        ok = (at[:-1] >= 0) & (at[1:] >= 0)
-        return (at[:-1] * k + ids[2:])[ok].view(np.uint64)
-
-    triples, triple_n = _collected(_counts(texts, triple_codes), bound)
-    return grow(words, word_n, pairs, pair_n, triples.view(np.int64), triple_n, total, size), vocabulary
-
-
-def score(docs: DataFrame, tree: Tree, vocabulary: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, held, n_tokens, n_known, base_score, score; held is passed through.
-
-    Rows go to blocks of bounded size by a hash. Each block asks for the counts of its rarer words once, the vocabulary answers by a join,
-    and the block's rows are scored with the answers; counts of frequent words are in the tree.
+    codes, n, rest = codes[order], n[order], rest[order]
+
+    def find(wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(codes):
+            return np.zeros(len(wanted), np.int64), np.full(len(wanted), np.nan)
+        at = np.minimum(np.searchsorted(codes, wanted), len(codes) - 1)
+        hit = codes[at] == wanted
+        return np.where(hit, n[at], 0), np.where(hit, rest[at], np.nan)
+
+    return find
+
+
+def score(docs: DataFrame, tree: Tree, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs (doc_id, text, held) -> doc_id, held, n_tokens, n_known, base_score, score; held is passed through.
+
+    Rows go to blocks of bounded size by a hash. Each block asks once for each word and each gram that the filter knows, the tree's tables
+    answer by a join, and the block's rows are scored with the answers.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-int(size) // block_bytes))
-    sent = spark.sparkContext.broadcast(tree)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-blocks // 4))  # some 32 MB of text each at any size
+    sent, depth, settings = spark.sparkContext.broadcast(tree.bits), tree.depth, (tree.tokens, tree.vocabulary, tree.discount)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks)
     blocked = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).select("text", "doc_id", "held", "block").repartition(parts, "block")
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
-        words = sent.value.words
+        new: dict[int, int] = {}
+
+        def out(b: int) -> Iterator[pa.RecordBatch]:
+            codes = np.unique(np.concatenate(held.pop(b))).view(np.int64)
+            for at in range(0, len(codes), 200_000):
+                part = codes[at : at + 200_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), b, np.int64)), pa.array(part)], names=["block", "code"])
+
         for batch in batches:
             data, offs = buffers(batch.column(0))
             block = batch.column(3).to_numpy()
             for i, j in slices(offs):
                 tokens, first = token_hashes(data, offs[i : j + 1])
-                of = np.repeat(block[i:j], np.diff(first))
-                rare = _find(words, tokens) < 0
-                tokens, of = tokens[rare], of[rare]
-                for b in np.unique(of):
-                    held.setdefault(int(b), []).append(np.unique(tokens[of == b]))
-                    if len(held[int(b)]) > 64:
-                        held[int(b)] = [np.unique(np.concatenate(held[int(b)]))]
-        for b, found in held.items():
-            codes = np.unique(np.concatenate(found)).view(np.int64)
-            for at in range(0, len(codes), 200_000):
-                part = codes[at : at + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), b, np.int64)), pa.array(part)], names=["block", "code"])
-
-    answers = blocked.mapInArrow(lean(asked), "block long, code long").join(vocabulary, "code").select("block", "code", "n")
+                row = np.repeat(np.arange(i, j), np.diff(first))
+                codes, of = [tokens], [block[row]]
+                known, grams = passes(sent.value, tokens), tokens
+                for order in range(2, depth + 2):
+                    longer = max(0, len(grams) - 1)
+                    grams = grams[:longer] * np.uint64(_P) + tokens[order - 1 : order - 1 + longer]
+                    known = known[:longer] & known[1 : longer + 1] & passes(sent.value, grams)
+                    at = np.flatnonzero(known & whole(first, longer, order))
+                    codes.append(grams[at])
+                    of.append(block[row[at]])
+                codes, of = np.concatenate(codes), np.concatenate(of)
+                for b in np.unique(of).tolist():
+                    held.setdefault(b, []).append(np.unique(codes[of == b]))
+                    new[b] = new.get(b, 0) + 1
+                    if new[b] > 32:  # what was seen before stands first and is merged with the new
+                        held[b], new[b] = [np.unique(np.concatenate(held[b]))], 0
+        for b in list(held):
+            yield from out(b)
+
+    answers = batches_of(blocked, lean(asked), "block long, code long").join(tree.lookup(), "code").select("block", "code", "n", "rest")
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
-        tree = sent.value
-        codes = right.column("code").to_numpy().astype(np.int64).view(np.uint64)
-        order = np.argsort(codes)
-        codes, n = codes[order], right.column("n").to_numpy()[order]
+        find = _finder(right.column("code").to_numpy().astype(np.int64).view(np.uint64), right.column("n").to_numpy(), right.column("rest").to_numpy(zero_copy_only=False).astype(np.float64))
         data, offs = buffers(left.column("text"))
-        cols = ([], [], [], [])
+        cols: tuple[list, ...] = ([], [], [], [])
         for i, j in slices(offs):
             tokens, first = token_hashes(data, offs[i : j + 1])
-            ids = tree.ids(tokens)
-            at = _find(codes, tokens)
-            counts = np.where(ids >= 0, tree.word_n[ids] if len(tree.word_n) else 0, np.where(at >= 0, n[at] if len(n) else 0, 0))
-            base, model = tree.log10(ids, counts, first)
-            for to, x in zip(cols, (np.diff(first), np.add.reduceat((counts > 0).astype(np.int64), first[:-1]), np.add.reduceat(base, first[:-1]), np.add.reduceat(model, first[:-1])), strict=True):
+            counts, base, model = token_scores(tokens, first, find, depth, sent.value, *settings)
+            for to, x in zip(cols, (np.diff(first), *(np.add.reduceat(v, first[:-1]) for v in ((counts > 0).astype(np.int64), base, model))), strict=True):
                 to.append(x)
         got = [pa.array(np.concatenate(c)) if c else pa.array([], t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
         return pa.table([left.column("doc_id"), left.column("held"), *got], names=["doc_id", "held", "n_tokens", "n_known", "base_score", "score"])
@@ -270,13 +303,13 @@ def score(docs: DataFrame, tree: Tree, vocabulary: DataFrame, block_bytes: int =
 def score_documents(docs: DataFrame, held, **settings) -> DataFrame:
     """Learns from the rows of docs (doc_id, text) where `held` (a column expression) is false, scores all.
 
-    Null texts are empty: one end token. Rows that repeat count each; null ids are allowed; other columns play no part; an empty table gives
-    an empty one. If no row is left to learn from, all tokens have the same probability 1 (an empty vocabulary and the unknown word).
+    Null texts are empty: one end token. Texts may be of any length. Rows that repeat count each; null ids are allowed; other columns, of
+    whatever names, play no part; an empty table gives an empty one. If no row is left to learn from, all tokens have the same probability
+    1 (an empty vocabulary and the unknown word).
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"), held.alias("held"))
-    tree, vocabulary = learn(own.where(~F.col("held")).select("text"), **settings)
-    out = score(own, tree, vocabulary)
-    return out.withColumn("train_tokens", F.lit(tree.tokens).cast("long"))
+    tree = learn(own.where(~F.col("held")).select("text"), **settings)
+    return score(own, tree).withColumn("train_tokens", F.lit(tree.tokens).cast("long"))
 
 
 def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

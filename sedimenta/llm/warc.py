@@ -101,7 +101,7 @@ def write_archives(records: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Da
 
     Of `copies` rows that are all the same, one is a response (if refers_to is null) and the rest are revisits to it.
     """
-    small_batches(records.sparkSession, 128)
+    small_batches(records.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
@@ -150,7 +150,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                     rows.append((number("X-Page-Id"), n, digest, f["WARC-Type"], number("X-Refers-To-Page-Id"), name, at))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
-    small_batches(archives.sparkSession, 2)
+    small_batches(archives.sparkSession)
     return archives.select("name", "data").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long")
 
 
