@@ -17,6 +17,7 @@ SPACES = b" \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _U64 = (1 << 64) - 1
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,11 +49,17 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Cuts the lineage: writes df below the shared folder and reads it back."""
+    """Cuts the lineage: writes df below the shared folder and reads it back. The shuffle files of the write go as soon as it is done, for
+    the table stands for itself then."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/sedimenta/{tag}-{uuid.uuid4().hex}"
     out = df.write.option("compression", "zstd")
-    (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
+    was = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, was) if was is not None else spark.conf.unset(_CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -18,7 +18,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,8 +94,8 @@ def _gathered(texts: DataFrame, columns_of: Callable[[np.ndarray, np.ndarray], l
             for i, j in slices(offs):
                 codes, *rest = columns_of(*token_hashes(data, offs[i : j + 1]))
                 if len(codes):
-                    held.append(_uniques(codes, rest, np.ones(len(codes), np.int64)))
-                    total += len(held[-1][0])
+                    held.append((codes, rest, np.ones(len(codes), np.int64)))
+                    total += len(codes)
                 if total >= most:
                     held = [merged()]
                     total = len(held[0][0])
@@ -106,7 +105,7 @@ def _gathered(texts: DataFrame, columns_of: Callable[[np.ndarray, np.ndarray], l
         if held:
             yield from out(*merged())
 
-    return batches_of(texts, lean(run), kinds).groupBy("code").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in names])
+    return batches_of(texts, lean(run), kinds).groupBy("code").agg(F.sum("n").alias("n"), *[F.max(c).alias(c) for c in names])
 
 
 def filter_bits(codes: DataFrame) -> np.ndarray:
@@ -139,57 +138,59 @@ class Tree:
 
 def learn(texts: DataFrame, depth: int = DEPTH, least: int = LEAST, discount: float = DISCOUNT, gain: float = GAIN) -> Tree:
     """A tree from texts (one binary column)."""
-    spark = texts.sparkSession
     words = written(_gathered(texts, lambda tokens, first: [tokens], []), "vocabulary")
     size, total = (int(x or 0) for x in words.agg(F.count(F.lit(1)), F.sum("n")).first())
     none = F.lit(None).cast("double")
     # alive: the candidates of the last order with the smoothed probability q of their last token after the others
     alive = words.where(F.col("n") >= least).withColumn("q", (F.col("n") + 1) / F.lit(total + 1.0 * (size + 1)))
     tables, bits = [words.withColumn("rest", none)], filter_bits(alive)
+    counts = _pass(texts, 1, None, bits, least) if depth else None
     for order in range(1, depth + 1):
-        grams = _candidates(spark, texts, order + 1, bits, least)
-        level = _level(grams, alive, discount, gain)
-        tested = written(level.groupBy("prefix").agg(F.min("context_n").alias("n"), *_mass(discount)).select("prefix", "rest", (F.col("n") * F.col("kl") >= gain).alias("kept")), "contexts").where("kept").select("prefix", "rest")
+        found = filter_bits(counts)
+        both = _pass(texts, order + 1, bits, found, least, order < depth)
+        bits = bits | found
+        level = both.where("prefix != 0").join(alive.select(F.col("code").alias("prefix"), F.col("n").alias("context_n")), "prefix").join(alive.select(F.col("code").alias("suffix"), "q"), "suffix")
+        counts = both.where("prefix = 0")
+        tested = written(level.groupBy("prefix").agg(F.min("context_n").alias("n"), *_mass(discount)).where(F.col("n") * F.col("kl") >= gain).select("prefix", "rest"), "contexts")
         if not tested.head(1):
             break
-        tables[-1] = written(_with_rest(tables[-1], tested), "states")
+        tables[-1] = tables[-1].drop("rest").join(tested.withColumnRenamed("prefix", "code"), "code", "left").select("code", "n", "rest")
         smoothed = F.when(F.col("rest").isNotNull(), (F.col("n") - discount) / F.col("context_n") + F.col("rest") * F.col("q")).otherwise(F.col("q"))
         alive = written(level.join(tested, "prefix", "left").select("code", "n", smoothed.alias("q")), "grams")
         tables.append(alive.select("code", "n", none.alias("rest")))
-        bits = bits | filter_bits(alive)
     return Tree(tables, bits, total, size, discount)
 
 
-def _with_rest(counts: DataFrame, tested: DataFrame) -> DataFrame:
-    return counts.drop("rest").join(tested.withColumnRenamed("prefix", "code"), "code", "left").select("code", "n", "rest")
+def _pass(texts: DataFrame, order: int, bits: np.ndarray | None, found: np.ndarray, least: int, longer: bool = True) -> DataFrame:
+    """(code, n, prefix, suffix), least times or more: grams of `order` tokens that pass the filter `found`, with the grams that begin and
+    end them, and if `longer` the candidates of one token more, those whose beginning and end pass, with prefix and suffix 0.
 
-
-def _candidates(spark: SparkSession, texts: DataFrame, order: int, bits: np.ndarray, least: int) -> DataFrame:
-    """(code, n, prefix, suffix) of the grams of `order` tokens that occur `least` times. Codes alone are counted first; where the gram's
-    parts come from is asked for in a second pass, for the frequent ones only."""
-    sent = spark.sparkContext.broadcast(bits)  # of fixed size
-
-    def grams(tokens: np.ndarray, first: np.ndarray, own: Broadcast) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        parts = gram_codes(tokens, order - 1)
-        known = passes(own.value, parts)
-        at = np.flatnonzero(known[:-1] & known[1:] & whole(first, max(0, len(parts) - 1), order)) if len(parts) else np.zeros(0, np.int64)
-        return parts[at] * np.uint64(_P) + tokens[at + order - 1], parts[at], parts[at + 1]
-
-    counts = written(_gathered(texts, lambda tokens, first: [grams(tokens, first, sent)[0]], []).where(F.col("n") >= least), "counts")
-    found = spark.sparkContext.broadcast(filter_bits(counts))
-
-    def parts_of(tokens: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-        code, prefix, suffix = grams(tokens, first, sent)
-        keep = passes(found.value, code)
-        return [code[keep], prefix[keep], suffix[keep]]
-
-    return written(_gathered(texts, parts_of, ["prefix", "suffix"]).where(F.col("n") >= least), "candidates")
-
-
-def _level(grams: DataFrame, alive: DataFrame, discount: float, gain: float) -> DataFrame:
-    """grams with context_n, the count of the context, and q, the probability that the suffix state gives to the last token."""
-    contexts = alive.select(F.col("code").alias("prefix"), F.col("n").alias("context_n"))
-    return grams.join(contexts, "prefix").join(alive.select(F.col("code").alias("suffix"), "q"), "suffix")
+    One pass over the texts does both, and codes alone are dealt for most of what it counts. Words (bits None) have no parts to name.
+    """
+    sent, sent_found = (texts.sparkSession.sparkContext.broadcast(x) for x in (bits, found))  # of fixed size
+
+    def columns_of(tokens: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+        codes, out = tokens, []
+        known = passes(sent_found.value, tokens) if sent.value is None else None
+        if known is None:
+            parts = gram_codes(tokens, order - 1)
+            alive = passes(sent.value, parts)
+            n = max(0, len(parts) - 1)
+            codes = parts[:n] * np.uint64(_P) + tokens[order - 1 : order - 1 + n]
+            known = alive[:n] & alive[1 : n + 1] & whole(first, n, order)
+            at = np.flatnonzero(known)
+            at = at[passes(sent_found.value, codes[at])]
+            known[:] = False
+            known[at] = True
+            out.append((codes[at], parts[at], parts[at + 1]))
+        if longer:
+            n = max(0, len(codes) - 1)
+            at = np.flatnonzero(known[:n] & known[1 : n + 1] & whole(first, n, order + 1))
+            more = codes[at] * np.uint64(_P) + tokens[at + order]
+            out.append((more, np.zeros(len(more), np.uint64), np.zeros(len(more), np.uint64)))
+        return [np.concatenate([x[k] for x in out]) for k in range(3)] if out else [np.zeros(0, np.uint64)] * 3
+
+    return written(_gathered(texts, columns_of, ["prefix", "suffix"]).where(F.col("n") >= least), "counts")
 
 
 def _mass(discount: float) -> list:
