@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import clean_name, small_batches, table
+from sedimenta.llm.common import batches_of, clean_name, table
 
 #: Fixed values of MPEG-1 Layer III: kbit/s by index, samples a second by index, samples a frame, mono side information bytes.
 BITRATES = (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
 RATES = (44100, 48000, 32000)
 SAMPLES, SIDE, HEAD = 1152, 17, 4 + 2 + 17
+#: Ticks a second in which a sample of every rate has a whole length.
+TICKS = 14_112_000
 RATE = 1  # 48 kHz: frames need no padding
 
 
@@ -85,29 +87,50 @@ def encode(payload: bytes) -> bytes:
     return _tag(len(payload)) + info + b"".join(frames)
 
 
+def _syncsafe(x: bytes) -> int:
+    n = 0
+    for b in x:
+        n = n << 7 | b & 127
+    return n
+
+
 def parse_tag(data: bytes) -> tuple[dict[str, str], int]:
-    """User text and text frames of a leading ID3v2.3 or 2.4 tag, and where the audio begins; a broken tag is skipped as far as it says."""
+    """User text and text frames of a leading ID3v2.2, 2.3 or 2.4 tag, and where the audio begins; a broken tag is skipped as far as it says."""
     tags: dict[str, str] = {}
     if data[:3] != b"ID3" or len(data) < 10:
         return tags, 0
-    major, flags, size = data[3], data[5], (data[6] & 127) << 21 | (data[7] & 127) << 14 | (data[8] & 127) << 7 | data[9] & 127
-    end = min(len(data), 10 + size)
-    at = 10
-    if flags & 0x40 and end >= 14:
-        at += struct.unpack(">I", data[10:14])[0] + (4 if major == 3 else 0)
-    while at + 10 <= end and data[at : at + 1] != b"\x00":
-        name, n = data[at : at + 4].decode("latin-1"), struct.unpack(">I", data[at + 4 : at + 8])[0]
-        if major >= 4:
-            n = (n >> 24 & 127) << 21 | (n >> 16 & 127) << 14 | (n >> 8 & 127) << 7 | n & 127
-        body = data[at + 10 : min(end, at + 10 + n)]
+    major, flags, size = data[3], data[5], _syncsafe(data[6:10])
+    end, at = min(len(data), 10 + size), 10
+    if flags & 0x40 and major >= 3 and end >= 14:  # extended header: 2.4 counts its own four bytes and is syncsafe
+        at += _syncsafe(data[10:14]) if major >= 4 else int.from_bytes(data[10:14], "big") + 4
+    wide = 3 if major == 2 else 4
+    head = 2 * wide + (0 if major == 2 else 2)
+    while at + head <= end and data[at] != 0:
+        name, length = data[at : at + wide].decode("latin-1"), data[at + wide : at + 2 * wide]
+        n = _syncsafe(length) if major >= 4 else int.from_bytes(length, "big")
+        body = data[at + head : min(end, at + head + n)]
         if name[:1] == "T" and body:
             text = body[1:].decode(("latin-1", "utf-16", "utf-16-be", "utf-8")[body[0] & 3], "replace")
-            key, _, value = text.partition("\x00") if name == "TXXX" else (name, "", text)
+            key, _, value = text.partition("\x00") if name in ("TXXX", "TXX") else (name, "", text)
             tags[key] = value.rstrip("\x00")
-        at += 10 + n
+        at += head + n
     return tags, 10 + size + (10 if flags & 0x10 else 0)
 
 
+def parse_vbr(data: bytes, at: int, body: int) -> tuple[int | None, int | None] | None:
+    """(frames, bytes) of a Xing or Info table behind the side information, or of a VBRI table 32 bytes behind the header, else None."""
+    if data[body : body + 4] in (b"Xing", b"Info") and len(data) >= body + 8:
+        flags, k, out = int.from_bytes(data[body + 4 : body + 8], "big"), body + 8, []
+        for bit in (1, 2):
+            here = flags & bit and len(data) >= k + 4
+            out.append(int.from_bytes(data[k : k + 4], "big") if here else None)
+            k += 4 if flags & bit else 0
+        return out[0], out[1]
+    if data[at + 36 : at + 40] == b"VBRI" and len(data) >= at + 54:
+        return int.from_bytes(data[at + 50 : at + 54], "big"), int.from_bytes(data[at + 46 : at + 50], "big")
+    return None
+
+
 def header_size(data: bytes, at: int) -> int:
     """Bytes of the MPEG-1 Layer III frame whose header stands at `at`, or 0."""
     if at + 4 > len(data) or data[at] != 0xFF or data[at + 1] & 0xFE != 0xFA:
@@ -119,7 +142,7 @@ def header_size(data: bytes, at: int) -> int:
 def decode(data: bytes) -> dict:
     """Payload and features. A frame counts if it is whole and another header or the stream's end follows it; else the search goes on one byte later."""
     tags, at = parse_tag(data)
-    out: dict = {"offsets": [], "frames": 0, "bad_crc": 0, "skipped": 0, "samples": 0, "rate": 0, "kbit": 0, "vbr_frames": None, "vbr_bytes": None, "tags": tags}
+    out: dict = {"offsets": [], "frames": 0, "bad_crc": 0, "skipped": 0, "samples": 0, "ticks": 0, "rate": 0, "kbit": 0, "vbr_frames": None, "vbr_bytes": None, "tags": tags}
     parts, good, first = [], set(), True
     while at < len(data):
         n = header_size(data, at)
@@ -138,20 +161,22 @@ def decode(data: bytes) -> dict:
                 good.add(seen)
             else:
                 out["bad_crc"] += 1
-        if first and data[body : body + 4] in (b"Xing", b"Info"):
-            flags, frames, size = struct.unpack(">III", data[body + 4 : body + 16])
-            out["vbr_frames"], out["vbr_bytes"] = frames if flags & 1 else None, size if flags & 2 else None
+        if first and (vbr := parse_vbr(data, at, body)):
+            out["vbr_frames"], out["vbr_bytes"] = vbr
         else:
             out["offsets"].append(at)
             out["frames"] += 1
             out["samples"] += SAMPLES
-            out["rate"] = RATES[data[at + 2] >> 2 & 3]
+            rate = RATES[data[at + 2] >> 2 & 3]
+            out["rate"] = out["rate"] or rate
+            out["ticks"] += SAMPLES * (TICKS // rate)
             out["kbit"] += BITRATES[data[at + 2] >> 4]
             parts.append(data[body : at + n])
         first = False
         at += n
     payload = b"".join(parts)
-    length = int(tags["payload_bytes"]) if tags.get("payload_bytes", "").isdigit() else len(payload)
+    stated = tags.get("payload_bytes", "")
+    length = int(stated) if stated.isascii() and stated.isdigit() and len(stated) < 19 else len(payload)
     out["payload"] = payload[:length]
     return out
 
@@ -168,25 +193,29 @@ def _fields(df: DataFrame) -> str:
 
 
 def encode_column(df: DataFrame, payload: str, media: str = "media") -> DataFrame:
-    """df with the stream of each payload (binary; null is empty) in a new binary column."""
-    small_batches(df.sparkSession)
+    """df with the stream of each payload (binary; null is empty) in a new binary column, named with a leading _ if df has one of that name."""
     name, at = clean_name(df, media), df.columns.index(payload)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([encode(x or b"") for x in b.column(at).to_pylist()], pa.binary())], names=[*b.schema.names, name])
 
-    return df.mapInArrow(run, f"{_fields(df)}`{name}` binary")
+    return batches_of(df, run, f"{_fields(df)}`{name}` binary")
 
 
 _DECODED = [("payload_bytes", pa.int64(), "long"), ("payload_sha256", pa.string(), "string"), ("tail_crc32", pa.int64(), "long"), ("media_bytes", pa.int64(), "long"), ("media_sha256", pa.string(), "string"), ("feature", pa.string(), "string"),
-            ("n_frames", pa.int64(), "long"), ("duration_samples", pa.int64(), "long"), ("sample_rate", pa.int64(), "long"), ("seek_offsets", pa.list_(pa.int64()), "array<long>"), ("crc_errors", pa.int64(), "long")]
+            ("n_frames", pa.int64(), "long"), ("duration_samples", pa.int64(), "long"), ("duration_ticks", pa.int64(), "long"), ("sample_rate", pa.int64(), "long"), ("seek_offsets", pa.list_(pa.int64()), "array<long>"), ("crc_errors", pa.int64(), "long")]
 
 
 def decode_column(df: DataFrame, media: str = "media") -> DataFrame:
-    """df without the media column, with what the stored bytes hold: digests of the payload read back, exact duration, frame offsets."""
-    small_batches(df.sparkSession)
+    """df without the media column, with what the stored bytes hold: digests of the payload read back, exact duration, frame offsets.
+
+    New columns get a leading _ where df has one of that name. Null and empty media have no frames and an empty payload; foreign bytes are
+    skipped and counted; rows that repeat come back as often as they are there; an empty table gives an empty one. Media of any length are
+    read whole. duration_ticks counts 1/14112000 of a second and is exact if frames differ in rate; sample_rate is the first frame's.
+    """
     rest, at = [c for c in df.columns if c != media], df.columns.index(media)
+    names = [clean_name(df.drop(media), n) for n, _, _ in _DECODED]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -195,12 +224,12 @@ def decode_column(df: DataFrame, media: str = "media") -> DataFrame:
                 x = x or b""
                 d = decode(x)
                 p = d["payload"]
-                rows.append((len(p), sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(x), sha256(x).hexdigest(), feature(d), d["frames"], d["samples"], d["rate"], d["offsets"], d["bad_crc"]))
+                rows.append((len(p), sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(x), sha256(x).hexdigest(), feature(d), d["frames"], d["samples"], d["ticks"], d["rate"], d["offsets"], d["bad_crc"]))
             kept = [c for k, c in enumerate(b.columns) if k != at]
             made = [pa.array([r[k] for r in rows], t) for k, (_, t, _) in enumerate(_DECODED)]
-            yield pa.RecordBatch.from_arrays([*kept, *made], names=[*rest, *(n for n, _, _ in _DECODED)])
+            yield pa.RecordBatch.from_arrays([*kept, *made], names=[*rest, *names])
 
-    return df.mapInArrow(run, _fields(df.drop(media)) + ", ".join(f"{n} {t}" for n, _, t in _DECODED))
+    return batches_of(df, run, _fields(df.drop(media)) + ", ".join(f"`{n}` {t}" for n, (_, _, t) in zip(names, _DECODED, strict=True)))
 
 
 def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
