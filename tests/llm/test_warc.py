@@ -21,6 +21,36 @@ def brute(pages):
     return out
 
 
+def test_rows_of_one_page_and_payload_keep_their_urls(spark):
+    rows = [(1, "http://b", "x"), (1, "http://a", "x"), (1, None, "x"), (2, "http://c", "x")]
+    made = W.dedup_records(spark.createDataFrame([(*r, "mine", 1) for r in rows], "page_id long, url string, html string, payload string, digest int")).collect()
+    assert sorted((r["page_id"], r["url"] or "", r["revisit"], r["refers_to"]) for r in made) == [(1, "", True, 1), (1, "http://a", False, None), (1, "http://b", True, 1), (2, "http://c", True, 1)]
+
+
+def test_reading_takes_linear_time():
+    import time
+
+    record, took = W.record(1, "http://h", b"<p>" + b"word " * 150, "D", 0, None, False), []
+    for n in (2_000, 16_000):
+        data, began = W.archive([record + str(k).encode() for k in range(n)]), time.perf_counter()
+        assert sum(1 for _ in W.read_archive(data)) == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 20 * took[0] + 0.2  # eight times the records; square would be 64
+
+
+def test_long_payloads_and_standard_fields(spark):
+    long_ = "<p>" + "Wört " * 4_000_000  # 20 MB and more
+    pages = spark.createDataFrame([(1, "http://h", long_), (2, "http://i", long_)], "page_id long, url string, html string")
+    archives = W.write_archives(W.dedup_records(pages))
+    got = {r["page_id"]: r for r in W.read_archives(archives).collect()}
+    assert got[1]["payload_bytes"] == len(long_.encode()) == got[2]["payload_bytes"] and got[2]["refers_to"] == 1
+    records = [W.parse(r) for a in archives.collect() for _, r in W.read_archive(bytes(a["data"]))]
+    ids = {f["WARC-Record-ID"]: f for f, _ in records}
+    revisit = next(f for f, _ in records if f["WARC-Type"] == "revisit")
+    assert ids[revisit["WARC-Refers-To"]]["X-Page-Id"] == "1" and any(f["WARC-Type"] == "warcinfo" for f, _ in records)
+    assert next(f for f, _ in records if f["WARC-Type"] == "response")["Content-Type"] == "application/http; msgtype=response"
+
+
 def test_query_against_brute_force(spark, tmp_path):
     spark.createDataFrame(PAGES, "page_id long, url string, html string").repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
     got = Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in W.op3_warc(spark, str(tmp_path)).collect())
