@@ -16,9 +16,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import WORD, lean, small_batches, table, written
+from sedimenta.llm.common import WORD, batches_of, clean_name, lean, table, written
 
-WEIGHTS, SHARE, REPEAT, BLOCK, SLOTS, BUCKETS, SEED = (3, 1, 2), 1.5, 2, 512, 4096, 64, 1
+WEIGHTS, SHARE, REPEAT, BLOCK, SLOTS, SEED = (3, 1, 2), 1.5, 2, 512, 4096, 1
+#: Rows of a source that one group sums, and sources up to which their list is broadcast; more go by a shuffled join.
+BUCKET_ROWS, BROADCAST_SOURCES = 20_000, 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -61,26 +63,44 @@ def permute(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, drawn: int) -> int:
+    """How many good ones are among `drawn` of good + bad, by inversion: the chances relative to the mode's are products of ratios, and what
+    lies beyond 14 standard deviations has a chance under 1e-40. The same way at any size; the work grows with the standard deviation."""
+    total, lo, hi = good + bad, max(0, drawn - bad), min(good, drawn)
+    if lo == hi:
+        return lo
+    mode = min(hi, max(lo, (drawn + 1) * (good + 1) // (total + 2)))
+    share = drawn / total
+    far = 30 + int(14 * np.sqrt(good * share * (1 - share) * (bad / max(1, total - 1)) + 1))
+    lo, hi = max(lo, mode - far), min(hi, mode + far)
+    k = np.arange(lo, hi, dtype=np.float64)  # from k to k + 1
+    step = np.log(good - k) + np.log(drawn - k) - np.log(k + 1) - np.log(bad - drawn + k + 1)
+    log = np.concatenate([[0.0], np.cumsum(step)])
+    chance = np.exp(log - log.max())
+    return lo + int(np.searchsorted(np.cumsum(chance) / chance.sum(), rng.random(), side="right").clip(0, hi - lo))
+
+
 def _split(rng: np.random.Generator, counts: np.ndarray, left: int) -> np.ndarray:
-    """How many of each source stand in the left part: multinomial given the totals. Beyond numpy's range by binomials, put right to the totals."""
-    total = int(counts.sum())
-    if total < 900_000_000:
-        return rng.multivariate_hypergeometric(counts, left, method="marginals")
-    got = np.minimum(rng.binomial(counts, left / total), counts)
-    off = left - int(got.sum())
-    for k in np.argsort(-counts, kind="stable"):
-        step = int(np.clip(off, -got[k], counts[k] - got[k]))
-        got[k] += step
-        off -= step
-    return got
-
-
-def shard_counts(shard: int, shards: int, slots: int, quota: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(this shard's source counts, how many of each source stand in earlier shards), in log2(shards) draws."""
+    """How many of each source stand in the left part, given the totals: multivariate hypergeometric, source by source."""
+    out, rest = np.zeros(len(counts), np.int64), int(counts.sum())
+    for k, n in enumerate(counts.tolist()):
+        rest -= n
+        out[k] = hypergeometric(rng, n, rest, left)
+        left -= int(out[k])
+    return out
+
+
+def shard_counts(shard: int, shards: int, slots: int, quota: np.ndarray, seed: int, seen: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(this shard's source counts, how many of each source stand in earlier shards), in log2(shards) draws. seen: splits to use again, for
+    shards of one task lie next to each other."""
     lo, hi, counts, before = 0, shards, quota.astype(np.int64), np.zeros(len(quota), np.int64)
+    seen = {} if seen is None else seen
+    if len(seen) > 4096:
+        seen.clear()
     while hi - lo > 1:
         mid = (lo + hi) // 2
-        got = _split(np.random.default_rng([seed, lo, hi]), counts, min(int(counts.sum()), (mid - lo) * slots))
+        if (got := seen.get((lo, hi))) is None:
+            got = seen[lo, hi] = _split(np.random.default_rng([seed, lo, hi]), counts, min(int(counts.sum()), (mid - lo) * slots))
         if shard < mid:
             hi, counts = mid, got
         else:
@@ -88,10 +108,10 @@ def shard_counts(shard: int, shards: int, slots: int, quota: np.ndarray, seed: i
     return counts, before
 
 
-def spans(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def spans(docs: DataFrame, buckets: int) -> DataFrame:
     """docs (row columns, source, size) with `start`: words of the same source before this row's, in the order of (bucket of the row's hash, hash).
 
-    A source is summed in buckets, so a hot one is many groups; only bucket sums meet in one window.
+    A source is summed in buckets, so a hot one is many groups; only bucket sums meet in one window. The caller has buckets follow the rows.
     """
     order = F.xxhash64("doc_id", "size", "tie")
     rows = docs.withColumn("_h", order).withColumn("_b", F.pmod(F.col("_h"), F.lit(buckets)))
@@ -151,7 +171,7 @@ def _place_of(value: int, n: int, key: int) -> int:
 
 def draw_slots(spark: SparkSession, sources: list[dict], block: int = BLOCK, slots: int = SLOTS, seed: int = SEED) -> DataFrame:
     """(shard, slot, k, block, pass, words): which block of which source stands in each slot of the mix, and how many of its words."""
-    quota = np.array([s["slots"] for s in sources], np.int64)
+    quota = np.array([s["slots"] for s in sources], np.int64)  # as long as the list of sources
     shards = max(1, -(-int(quota.sum()) // slots)) if len(quota) else 1
     info = {n: np.array([s[n] for s in sources], np.int64) for n in ("size", "blocks", "passes", "rest", "slots")}
     keys = np.array([[_key(s["k"], p, seed) for p in range(s["passes"] + 1)] + [0] * (max((x["passes"] for x in sources), default=0) - s["passes"]) for s in sources], np.int64)
@@ -159,9 +179,10 @@ def draw_slots(spark: SparkSession, sources: list[dict], block: int = BLOCK, slo
     names = ["shard", "slot", "k", "block", "pass", "words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict = {}
         for batch in batches:
             for shard in batch.column(0).to_pylist():
-                counts, before = shard_counts(shard, shards, slots, quota, seed)
+                counts, before = shard_counts(shard, shards, slots, quota, seed, seen)
                 k = np.repeat(np.arange(len(counts)), counts)
                 nth = np.concatenate([np.arange(b, b + c) for b, c in zip(before, counts, strict=True)]) if len(k) else np.zeros(0, np.int64)
                 blocks = np.maximum(info["blocks"][k], 1)
@@ -177,13 +198,13 @@ def draw_slots(spark: SparkSession, sources: list[dict], block: int = BLOCK, slo
                 cols = (np.full(len(k), shard), place, k, at, pass_, words)
                 yield pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in cols], names=names)
 
-    small_batches(spark)
-    return spark.range(shards, numPartitions=min(shards, 4096)).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return batches_of(spark.range(shards, numPartitions=min(shards, 4096)), run, ", ".join(f"{n} long" for n in names))
 
 
-def source_sizes(sized: DataFrame) -> list[tuple[str | None, int]]:
-    """One row a source; the list of sources is the only thing that comes to the driver."""
-    return [(r[0], int(r[1])) for r in sized.groupBy("source").agg(F.sum("size")).collect()]
+def source_sizes(sized: DataFrame) -> tuple[list[tuple[str | None, int]], int]:
+    """(source, size) and the rows of the largest source. One row a source comes to the driver, which orders them and shares out the targets."""
+    rows = sized.groupBy("source").agg(F.sum("size"), F.count(F.lit(1))).collect()
+    return [(r[0], int(r[1])) for r in rows], max((int(r[2]) for r in rows), default=0)
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeat: int = REPEAT, block: int = BLOCK, slots: int = SLOTS, seed: int = SEED) -> tuple[DataFrame, DataFrame, list[dict]]:
@@ -193,10 +214,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeat: int = RE
     repeat are taken each for itself; a source without words has target and quota 0; an empty table has no slots; other columns play no part.
     """
     sized = written(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie")), "mix-sizes")
-    sources = plan(source_sizes(sized), weights, share, repeat, block)
+    sizes, most = source_sizes(sized)
+    sources = plan(sizes, weights, share, repeat, block)
     spark = docs.sparkSession
     names = spark.createDataFrame([(s["k"], s["source"], s["size"], s["target"]) for s in sources], "k long, _source string, source_size long, target double")
-    placed = spans(sized).join(F.broadcast(names), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")  # one row a source
+    few = F.broadcast(names) if len(sources) <= BROADCAST_SOURCES else names
+    placed = spans(sized, max(1, -(-most // BUCKET_ROWS))).join(few, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     return placed, draw_slots(spark, sources, block, slots, seed), sources
 
 
@@ -234,10 +257,11 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     same = ["doc_id", "source", "size", "tie"]
     runs = by_row.groupBy(*same, "start").agg(F.collect_list("cuts").alias("cuts"))
     runs = runs.groupBy(*same).agg(F.flatten(F.flatten(F.collect_list("cuts"))).alias("cuts"))
-    tie = docs.withColumns({"_size": word_count(F.col("text")), "_tie": F.xxhash64(F.coalesce("text", F.lit("")))})
-    one = tie.where("_size > 0").dropDuplicates(["doc_id", "source", "_size", "_tie"]) if _repeats(placed) else tie.where("_size > 0")
-    keys = [one["doc_id"].eqNullSafe(runs["doc_id"]), one["source"].eqNullSafe(runs["source"]), one["_size"] == runs["size"], one["_tie"] == runs["tie"]]
-    joined = one.join(runs, keys[0] & keys[1] & keys[2] & keys[3]).select(*[one[c] for c in docs.columns], runs["size"].cast("long").alias("_words"), runs["cuts"].alias("_cuts"))
+    size, key, words, own = (clean_name(docs, f"mix_{c}") for c in ("size", "tie", "words", "cuts"))
+    tie = docs.withColumns({size: word_count(F.col("text")), key: F.xxhash64(F.coalesce("text", F.lit("")))}).where(F.col(size) > 0)
+    one = tie.dropDuplicates(["doc_id", "source", size, key]) if _repeats(placed) else tie
+    keys = [one["doc_id"].eqNullSafe(runs["doc_id"]), one["source"].cast("string").eqNullSafe(runs["source"]), one[size] == runs["size"], one[key] == runs["tie"]]
+    joined = one.join(runs, keys[0] & keys[1] & keys[2] & keys[3]).select(*[one[c] for c in docs.columns], runs["size"].cast("long").alias(words), runs["cuts"].alias(own))
     return _cut(joined, docs)
 
 
@@ -277,8 +301,7 @@ def _cut(joined: DataFrame, docs: DataFrame) -> DataFrame:
                 columns[chars_at] = pa.array([len(x) for x in out], pa.int64()).cast(columns[chars_at].type)
             yield pa.RecordBatch.from_arrays(columns, names=own_names)
 
-    small_batches(docs.sparkSession)
-    return joined.mapInArrow(lean(run), docs.schema)
+    return batches_of(joined, lean(run), docs.schema)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,3 +81,31 @@ def test_documents_of_the_mix(spark, docs, rows, empty):
         texts[r[0]].append(r[1])
     assert all(any(r["text"] in (t or "") for t in texts[r["doc_id"]]) for r in out)
     assert M.mixed_documents(empty).collect() == []
+
+
+def test_split_has_the_variance_of_draws_without_return():
+    import numpy as np
+
+    for good, bad, drawn in ((40, 25, 30), (3_000, 5_000, 2_000), (2 * 10**9, 10**9, 15 * 10**8)):
+        rng = np.random.default_rng(4)
+        got = np.array([M.hypergeometric(rng, good, bad, drawn) for _ in range(3000)], float)
+        total = good + bad
+        mean, var = drawn * good / total, drawn * (good / total) * (bad / total) * (total - drawn) / (total - 1)
+        assert abs(got.mean() - mean) < 5 * (var / 3000) ** 0.5 and 0.85 < got.var() / var < 1.15
+
+
+def test_shards_share_out_the_quota_exactly():
+    import numpy as np
+
+    quota, seen = np.array([700, 0, 55, 1200]), {}
+    shards = [M.shard_counts(k, 20, 100, quota, 3, seen) for k in range(20)]
+    assert (sum(c for c, _ in shards) == quota).all() and all(c.sum() == 100 for c, _ in shards[:19])
+    for k in range(1, 20):
+        assert (shards[k][1] == shards[k - 1][0] + shards[k - 1][1]).all() and (shards[k][0] == M.shard_counts(k, 20, 100, quota, 3)[0]).all()
+
+
+def test_columns_that_clash(spark):
+    rows = [(i, " ".join(f"w{j}" for j in range(40)), "ab"[i % 2], "s", i, "t") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _size string, mix_tie int, _cuts string")
+    out = M.mixed_documents(docs, block=8, slots=16)
+    assert out.columns == docs.columns and out.count() > 0 and {r["_size"] for r in out.collect()} == {"s"}
