@@ -4,8 +4,8 @@ Lines that many documents hold are dropped everywhere but in one document. A cou
 finds them; for each shard of these hashes a minimal perfect hash indexes compact arrays: a 64-bit fingerprint, the count, and the id of
 the document that keeps the line. Documents probe the arrays; lines are never joined.
 
-Up to `broadcast_bytes` of arrays go to every executor; beyond it, the document lines travel to their shard as (hash, place) and probe
-the arrays there.
+Up to `broadcast_bytes` of arrays go to every executor; beyond it the arrays stay where they are, and blocks of documents send the hashes
+of their lines, once each, to the shards that hold them. Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from sedimenta.llm.common import SPACES, clean_name, lean, small_batches, sole_memory, table, written
 
 MIN_CHARS, MIN_DOCS, SHARD_KEYS, BROADCAST_BYTES = 40, 5, 1 << 18, 48 << 20
+#: Beyond the broadcast: text of a block, and askings in a group.
+BLOCK_BYTES, ASKS = 16 << 20, 1_000_000
 _NONE = -(1 << 63)
 _GAMMA = 2.0
 
@@ -225,19 +227,9 @@ def _by_broadcast(docs: DataFrame, arrays: DataFrame, shards: int, min_chars: in
         for shard, *parts in sent.value:
             loaded.setdefault(shard, []).append(Shard(*parts))
         for batch in batches:
-            texts = batch.column(text_at).cast(pa.binary()).to_pylist()
+            texts = [t or b"" for t in batch.column(text_at).cast(pa.binary()).to_pylist()]
             ids = [_NONE if i is None else i for i in batch.column(id_at).to_pylist()]
-            split = [_keys_of(t or b"", min_chars) for t in texts]
-            hashes = [h for _, _, hs in split for h in hs]
-            found, keeper = _probe(loaded, shards, hashes) if hashes else (np.zeros(0, bool), np.zeros(0, np.int64))
-            at, kept, n_lines, n_dropped = 0, [], [], []
-            for i, (lines, places, _) in zip(ids, split, strict=True):
-                end = at + len(places)
-                gone = {places[k] for k in np.flatnonzero(found[at:end] & (keeper[at:end] != i))}
-                at = end
-                kept.append(b"\n".join(x for k, x in enumerate(lines) if k not in gone))
-                n_lines.append(len(lines))
-                n_dropped.append(len(gone))
+            kept, n_lines, n_dropped = _without(texts, ids, min_chars, lambda hashes: _probe(loaded, shards, hashes))
             columns = batch.columns
             columns[text_at] = pa.array(kept, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*batch.schema.names, *names])
@@ -245,49 +237,84 @@ def _by_broadcast(docs: DataFrame, arrays: DataFrame, shards: int, min_chars: in
     return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(lean(run), _out_fields(docs, names))
 
 
-def _by_shard(docs: DataFrame, arrays: DataFrame, shards: int, min_chars: int, names: list[str]) -> DataFrame:
-    """The arrays stay with their shards. Line hashes travel there, pre-aggregated by (hash, document), the places to drop travel back."""
-    doc = clean_name(docs, "row_key")
-    keyed = docs.withColumn(doc, F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), 256)))
-    ask = "key string, doc_id long, high long, low long, places array<int>, shard long, salt int"
-    ask_names = ["key", "doc_id", "high", "low", "places", "shard", "salt"]
+def _without(texts: list[bytes], ids: list[int], min_chars: int, probe) -> tuple[list[bytes], list[int], list[int]]:
+    """(kept text, lines, dropped lines) of each text; probe: hashes -> (found, keeper)."""
+    split = [_keys_of(t, min_chars) for t in texts]
+    hashes = [h for _, _, hs in split for h in hs]
+    found, keeper = probe(hashes) if hashes else (np.zeros(0, bool), np.zeros(0, np.int64))
+    at, kept, n_lines, n_dropped = 0, [], [], []
+    for i, (lines, places, _) in zip(ids, split, strict=True):
+        end = at + len(places)
+        gone = {places[k] for k in np.flatnonzero(found[at:end] & (keeper[at:end] != i))}
+        at = end
+        kept.append(b"\n".join(x for k, x in enumerate(lines) if k not in gone))
+        n_lines.append(len(lines))
+        n_dropped.append(len(gone))
+    return kept, n_lines, n_dropped
+
+
+def _by_shard(docs: DataFrame, arrays: DataFrame, shards: int, min_chars: int, names: list[str], block_bytes: int = BLOCK_BYTES, most_asks: int = ASKS) -> DataFrame:
+    """The arrays stay with their shards. Documents are dealt to blocks; each block asks once for each of its line hashes, shards answer
+    those they know with the keeper, and the block drops its lines.
+
+    The askings of a shard are salted by their counted number, so that a group has about most_asks of them however many lines there are.
+    """
+    spark = docs.sparkSession
+    key, schema = clean_name(docs, "block"), docs.withColumn("text", F.col("text").cast("string")).schema
+    size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-int(size) // block_bytes))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks)
+    blocked = docs.withColumn("text", F.col("text").cast("string")).withColumn(key, F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(parts, key)
+    ask = ["block", "high", "low"]
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: set[tuple[int, bytes]] = set()
+
+        def out() -> pa.RecordBatch:
+            both = np.frombuffer(b"".join(h for _, h in held), ">i8").astype(np.int64).reshape(-1, 2)
+            made = [np.array([b for b, _ in held], np.int64), np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=ask)
+
         for batch in batches:
-            rows = []
-            for key, i, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                by: dict[bytes, list[int]] = {}
-                _, places, hashes = _keys_of(text or b"", min_chars)
-                for p, h in zip(places, hashes, strict=True):
-                    by.setdefault(h, []).append(p)
-                for h, places in by.items():
-                    high, low = (int.from_bytes(h[k : k + 8], "big", signed=True) for k in (0, 8))
-                    rows.append((key, _NONE if i is None else i, high, low, places, high % shards, hash((i, high)) % 16))
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=ask_names)
-
-    def answered(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"key": [], "places": []}, dtype=object)
-        loaded = [Shard(*(bytes(x) for x in r)) for r in right[["sizes", "bits", "marks", "counts", "keepers"]].itertuples(index=False)]
-        high, low = (np.ascontiguousarray(left[c].to_numpy(np.int64)).view(np.uint64) for c in ("high", "low"))
-        gone = np.zeros(len(left), bool)
-        for shard in loaded:
-            found, keeper = shard.probe(high, low)
-            gone |= found & (keeper != left["doc_id"].to_numpy())
-        return left.loc[gone, ["key", "places"]].astype(object)
-
-    asks = keyed.select(doc, F.col("doc_id").cast("long"), F.col("text").cast("binary")).dropDuplicates([doc]).mapInArrow(asked, ask)
-    salted = arrays.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(16)])))
-    back = asks.groupBy("shard", "salt").cogroup(salted.groupBy("shard", "salt")).applyInPandas(answered, "key string, places array<int>")
-    gone = back.groupBy("key").agg(F.flatten(F.collect_list("places")).alias("gone"))
-    lines = clean_name(docs, "lines")
-    joined = keyed.join(gone, keyed[doc] == gone["key"], "left").withColumn(lines, F.split(F.coalesce(F.col("text"), F.lit("")), "\n"))
-    n_dropped = F.coalesce(F.size(F.col("gone")), F.lit(0)).cast("long")
-    n_dropped = F.when(F.col("gone").isNull(), F.lit(0).cast("long")).otherwise(n_dropped)
-    kept = F.array_join(F.filter(F.col(lines), lambda x, k: ~F.coalesce(F.array_contains(F.col("gone"), k), F.lit(False))), "\n")
-    cols = [kept.alias("text") if c == "text" else keyed[c] for c in docs.columns]
-    return joined.select(*cols, F.size(F.col(lines)).cast("long").alias(names[0]), n_dropped.alias(names[1]))
+            for b, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held.update((b, h) for h in _keys_of(text or b"", min_chars)[2])
+                if len(held) >= 200_000:
+                    yield out()
+        if held:
+            yield out()
+
+    asks = written(blocked.select(F.col(key), F.col("text").cast("binary")).mapInArrow(lean(asked), "block long, high long, low long"), "line-asks")
+    salts = max(1, -(-asks.count() // (shards * most_asks)))
+    salted = asks.withColumn("shard", F.pmod("high", F.lit(shards))).withColumn("salt", F.pmod(F.xxhash64("block", "low"), F.lit(salts)))
+    each = arrays.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+
+    def answered(left: pa.Table, right: pa.Table) -> pa.Table:
+        high, low = (left.column(c).to_numpy() for c in ("high", "low"))
+        found, keeper = np.zeros(len(left), bool), np.full(len(left), _NONE, np.int64)
+        for r in right.select(["sizes", "bits", "marks", "counts", "keepers"]).to_pylist():
+            f, k = Shard(*r.values()).probe(high.view(np.uint64), low.view(np.uint64))
+            found, keeper = found | f, np.where(f, k, keeper)
+        return left.select(ask).append_column("keeper", pa.array(keeper)).filter(pa.array(found))
+
+    answers = salted.groupBy("shard", "salt").cogroup(each.groupBy("shard", "salt")).applyInArrow(answered, "block long, high long, low long, keeper long")
+
+    def dropped(left: pa.Table, right: pa.Table) -> pa.Table:
+        known = dict(zip(zip(right.column("high").to_pylist(), right.column("low").to_pylist(), strict=True), right.column("keeper").to_pylist(), strict=True))
+
+        def probe(hashes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            both = np.frombuffer(b"".join(hashes), ">i8").astype(np.int64).reshape(-1, 2).tolist()
+            keepers = [known.get((h, low)) for h, low in both]
+            return np.array([k is not None for k in keepers], bool), np.array([_NONE if k is None else k for k in keepers], np.int64)
+
+        left = left.drop_columns([key])
+        ids = [_NONE if i is None else i for i in left.column("doc_id").to_pylist()]
+        kept, n_lines, n_dropped = _without([t or b"" for t in left.column("text").cast(pa.binary()).to_pylist()], ids, min_chars, probe)
+        left = left.set_column(left.schema.get_field_index("text"), "text", pa.array(kept, pa.binary()).cast(pa.string()))
+        return left.append_column(names[0], pa.array(n_lines, pa.int64())).append_column(names[1], pa.array(n_dropped, pa.int64()))
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields) + f", `{names[0]}` long, `{names[1]}` long"
+    return blocked.groupBy(key).cogroup(answers.withColumnRenamed("block", key).groupBy(key)).applyInArrow(dropped, fields)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,16 +323,18 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP6_SQL = r"""
-WITH lines AS (
-    SELECT doc_id, UNNEST(string_split(COALESCE(text, ''), chr(10))) AS line, UNNEST(range(len(string_split(COALESCE(text, ''), chr(10))))) AS nr FROM documents
+WITH docs AS (
+    SELECT row_number() OVER () AS nth, doc_id, string_split(COALESCE(text, ''), chr(10)) AS parts FROM documents
+), lines AS (
+    SELECT nth, doc_id, UNNEST(parts) AS line, UNNEST(range(len(parts))) AS nr FROM docs
 ), keyed AS (
-    SELECT doc_id, nr, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+    SELECT nth, doc_id, nr, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
 ), hot AS (
-    SELECT key, MAX(doc_id) AS keeper FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING COUNT(DISTINCT doc_id) >= 5
+    SELECT key, MAX(doc_id) AS keeper FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING COUNT(DISTINCT nth) >= 5
 ), marked AS (
-    SELECT k.doc_id, k.nr, k.line, h.key IS NOT NULL AND h.keeper <> k.doc_id AS gone FROM keyed k LEFT JOIN hot h ON k.key = h.key
+    SELECT k.nth, k.doc_id, k.nr, k.line, h.key IS NOT NULL AND h.keeper IS DISTINCT FROM k.doc_id AS gone FROM keyed k LEFT JOIN hot h ON k.key = h.key
 )
 SELECT doc_id, CAST(COUNT(*) AS BIGINT) AS n_lines, CAST(COUNT(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
        sha256(COALESCE(string_agg(line, chr(10) ORDER BY nr) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+FROM marked GROUP BY nth, doc_id
 """

@@ -55,3 +55,14 @@ def test_query_on_the_tables(spark, sf):
     want = brute([tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()])
     assert out == {i: (n, d, hashlib.sha256(t.encode()).hexdigest()) for i, t, n, d in want}
     assert re.fullmatch("[0-9a-f]{64}", next(iter(out.values()))[2])
+
+
+def test_both_ways_agree_with_clashing_names_and_salts(spark, docs):
+    own = docs.selectExpr("*", "'x' AS gone", "1 AS block", "'y' AS n_lines", "2.0 AS shard")
+    frequent = L.written(L.count_lines(own).where("docs >= 3"), "lines")
+    arrays = L.written(L.build_shards(frequent, 2), "arrays")
+    names = ["_n_lines", "n_dropped"]
+    one = L._by_broadcast(own, arrays, 2, 40, names)
+    two = L._by_shard(own, arrays, 2, 40, names, block_bytes=2000, most_asks=10)
+    key = lambda df: sorted(map(repr, df.collect()))
+    assert one.columns == two.columns and key(one) == key(two) and one.where("n_dropped > 0").count() > 0
