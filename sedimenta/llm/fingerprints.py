@@ -13,11 +13,12 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import scratch_dir, table, written
+from sedimenta.llm.common import clean_name, scratch_dir, table, written
 
 #: Hashes of copies that are compared by broadcast; more go by a shuffled join.
 BROADCAST_HASHES = 500_000
-BUCKET_BYTES, MOST_BUCKETS, _LEAST = 8 << 20, 20_000, -(1 << 63)
+#: Characters of a range of ids, and ranges at most; the bounds are a constant array of the plan. Beyond 1.6 TB ranges grow, to 0.5 GB at 100 TB.
+RANGE_CHARS, MOST_RANGES, _LEAST = 8 << 20, 200_000, -(1 << 63)
 
 
 def canonical(text: Column) -> Column:
@@ -78,11 +79,13 @@ def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
     """docs (doc_id, text, carried...) with next_<column> of the row that follows in descending doc_id (nulls last); the first follows the last.
 
     Rows go to ranges of doc_id, once; the first row of each range is also sent to the range before it. Rows with the same id stand in
-    the order of their text's hash. Bounds come from a sketch of the ids, as many as the input's size asks for.
+    the order of their text's hash. Bounds come from a sketch of the ids, as many as the input's size asks for; rows of one id stay in one
+    range, so an id that repeats without end is one sorted run, which spills.
     """
     n = _ranges(docs)
     ids = docs.select(F.col("doc_id").cast("long").alias("id"))
-    bounds = sorted(set(ids.agg(F.percentile_approx("id", [k / n for k in range(1, n)], 10_000)).first()[0] or [])) if n > 1 else []
+    shares = F.split(F.lit(",".join(repr(k / n) for k in range(1, n))), ",").cast("array<double>")
+    bounds = sorted(set(ids.agg(F.percentile_approx("id", shares, max(10_000, 5 * n))).first()[0] or [])) if n > 1 else []
     # range 0 holds the largest ids; nulls stand in the last
     place = lambda c: F.coalesce(F.lit(len(bounds)) - _at_most(c, bounds), F.lit(len(bounds)))
     tops = ids.select(place(F.col("id")).alias("range"), "id").groupBy("range").agg(F.max("id").alias("top")).orderBy("range").collect()
@@ -92,14 +95,16 @@ def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
     for k, r in enumerate(tops):
         top[r["range"]] = _LEAST if r["top"] is None else r["top"]
         before[r["range"]] = tops[k - 1]["range"]  # before the first: the last
-    own = F.struct(F.col("_range").alias("range"), F.lit(0).alias("extra"))
-    first = (F.get(_longs(top), F.col("_range")) == F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST))) & (F.get(_longs(before), F.col("_range")) >= 0)
-    also = F.struct(F.get(_longs(before), F.col("_range")).cast("int").alias("range"), F.lit(1).alias("extra"))
-    rows = docs.withColumn("_range", place(F.col("doc_id").cast("long")).cast("int"))
-    rows = rows.withColumn("_go", F.explode(F.when(first, F.array(own, also)).otherwise(F.array(own))))
-    order = Window.partitionBy(F.col("_go.range")).orderBy(F.col("_go.extra"), F.col("doc_id").desc_nulls_last(), _tie(F.col("text")), F.col("text"))
+    at, go = clean_name(docs, "range_of"), clean_name(docs, "range_go")
+    own = F.struct(F.col(at).alias("range"), F.lit(0).alias("extra"))
+    first = (F.get(_longs(top), F.col(at)) == F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST))) & (F.get(_longs(before), F.col(at)) >= 0)
+    also = F.struct(F.get(_longs(before), F.col(at)).cast("int").alias("range"), F.lit(1).alias("extra"))
+    rows = docs.withColumn(at, place(F.col("doc_id").cast("long")).cast("int"))
+    rows = rows.withColumn(go, F.explode(F.when(first, F.array(own, also)).otherwise(F.array(own)))).withColumn(at, F.col(f"{go}.range"))
+    rows = rows.repartition(2 * (len(bounds) + 1), F.col(at))  # as many tasks as ranges ask for, whatever the session's number
+    order = Window.partitionBy(F.col(at)).orderBy(F.col(f"{go}.extra"), F.col("doc_id").desc_nulls_last(), _tie(F.col("text")), F.col("text"))
     rows = rows.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in carried])
-    return rows.where("_go.extra = 0").drop("_range", "_go")
+    return rows.where(F.col(f"{go}.extra") == 0).drop(at, go)
 
 
 def _longs(values: list[int]) -> Column:
@@ -119,34 +124,48 @@ def _at_most(value: Column, bounds: list[int]) -> Column:
 
 
 def _ranges(docs: DataFrame) -> int:
-    """As many ranges as the input has BUCKET_BYTES, by its plan's statistics."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return int(min(MOST_BUCKETS, max(12, size // BUCKET_BYTES)))
+    """As many ranges as the texts have RANGE_CHARS, 12 at least."""
+    chars = int(docs.agg(F.sum(F.length("text"))).first()[0] or 0)
+    return int(min(MOST_RANGES, max(12, chars // RANGE_CHARS)))
+
+
+def edited_texts(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with next_text and edited: the last half of the code points replaced by as many of the next document's first."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 2) as int))"), F.substring(F.col("next_text"), F.lit(1), half))
+    return with_next(docs, ["text"]).withColumn("edited", edited)
+
+
+def _some(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """rows whose doc_id is among ids: by broadcast if these are few (counted), else by a shuffled join."""
+    few = written(ids.select(F.col("doc_id").alias("some_id")).distinct(), "fingerprint-ids")
+    return rows.join(F.broadcast(few) if few.count() <= BROADCAST_HASHES else few, F.col("doc_id").eqNullSafe(F.col("some_id")), "left_semi")
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all texts and edited texts. Texts are folded and hashed once; bytes are compared, on texts folded again, only where a
+    hash occurs twice. The two cases of a hash that different texts share (never seen) join the number of the text to its hash."""
     scratch_dir(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    near = with_next(docs, ["text"])
-    half = F.floor(F.length("text") / 2).cast("int")
-    edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 2) as int))"), F.substring(F.col("next_text"), F.lit(1), half))
-    full = near.select("doc_id", F.length("text").cast("long").alias("n_chars"), canonical(F.col("text")).alias("a"), canonical(edited).alias("b"), canonical(F.col("next_text")).alias("c"), edited.alias("edited"))
+    near = edited_texts(docs)
+    folded = {"a": canonical(F.col("text")), "b": canonical(F.col("edited")), "c": canonical(F.col("next_text"))}
     light = written(
-        full.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), *[wide_hash(F.col(c)).alias(f"{c}_hash") for c in "abc"]),
+        near.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), *[wide_hash(c).alias(f"{k}_hash") for k, c in folded.items()]),
         "edited",
     )
-    # Bytes are compared in buckets of copies only. A bucket with an edited text in it needs these texts made again.
     both = light.select(F.explode(F.array("a_hash", "b_hash")).alias("hash"))
-    originals = docs.select(canonical(F.col("text")).alias("folded")).withColumn("hash", wide_hash(F.col("folded"))).select("hash", "folded")
     several = written(both.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "fingerprint-copies")
-    held = light.join(several, light["b_hash"] == several["hash"], "left_semi").where("a_hash != b_hash")
-    texts = originals.join(F.broadcast(several) if several.count() <= BROADCAST_HASHES else several, "hash", "left_semi")
+    hashes = F.broadcast(several) if several.count() <= BROADCAST_HASHES else several
+    copies = _some(docs, light.join(hashes, light["a_hash"] == several["hash"], "left_semi").select("doc_id"))
+    texts = copies.select(folded["a"].alias("folded")).withColumn("hash", wide_hash(F.col("folded"))).select("hash", "folded")
+    held = written(light.join(hashes, light["b_hash"] == several["hash"], "left_semi").where("a_hash != b_hash").select("doc_id"), "fingerprint-edited")
     if held.head(1):
-        again = full.select(wide_hash(F.col("b")).alias("hash"), F.col("b").alias("folded"))
-        texts = texts.unionByName(again.join(F.broadcast(several) if several.count() <= BROADCAST_HASHES else several, "hash", "left_semi"))
+        again = _some(near, held).select(folded["b"].alias("folded")).withColumn("hash", wide_hash(F.col("folded")))
+        texts = texts.unionByName(again.select("hash", "folded"))
     odd = written(collided(texts), "fingerprint-collisions")
     if odd.head(1):  # as good as never: 256 bits met for different texts
-        light = full.select("*", *[wide_hash(F.col(c)).alias(f"{c}_hash") for c in "abc"])
+        light = near.select("doc_id", F.length("text").cast("long").alias("n_chars"), "edited", *[c.alias(k) for k, c in folded.items()])
+        light = light.select("*", *[wide_hash(F.col(c)).alias(f"{c}_hash") for c in "abc"])
         for c in "abc":
             own = odd.select(F.col("hash").alias(f"{c}_hash"), F.col("folded").alias(c), F.col("number").alias(f"{c}_number"))
             light = light.join(own, [f"{c}_hash", c], "left").withColumn(f"{c}_hash", named(F.col(f"{c}_hash"), F.col(f"{c}_number")))

@@ -76,3 +76,19 @@ def test_next_rows_over_many_ranges(spark, monkeypatch):
     order = sorted(ids, reverse=True)
     want = {i: f"t{order[(k + 1) % len(order)]}" for k, i in enumerate(order)}
     assert {r["doc_id"]: r["next_text"] for r in P.with_next(df, ["text"]).collect()} == want
+
+
+def test_next_rows_with_clashing_names_and_repeated_ids(spark):
+    rows = [(i // 2, f"text {i}", "mine", i) for i in range(40)] + [(None, "no id", "mine", 99)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _range string, range_of int").repartition(5)
+    out = P.with_next(docs, ["text"])
+    assert out.columns == [*docs.columns, "next_text"] and out.count() == 41 and {r["_range"] for r in out.collect()} == {"mine"}
+    follow = {r["text"]: r["next_text"] for r in out.collect()}
+    assert sorted(follow) == sorted(follow.values())
+
+
+def test_a_text_of_many_megabytes(spark, tmp_path):
+    long_ = "Größe ﬁ " * 2_000_000
+    spark.createDataFrame([(1, long_), (2, long_.upper()), (3, "short")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in P.op8_fingerprints(spark, str(tmp_path)).collect()}
+    assert got[1]["fingerprint"] == got[2]["fingerprint"] != got[3]["fingerprint"] and got[2]["near_next"] == 1.0
