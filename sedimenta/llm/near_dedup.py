@@ -2,10 +2,13 @@
 
 A document is the set of its word shingles. Its signature is K b-bit MinHash symbols, cut into M chunks. Two signatures that differ in at
 most r symbols, r <= 2 M - 1, have a chunk with at most one error (pigeonhole), so each chunk gives one key for each allowed error place:
-the chunk's other symbols. Every pair within the radius meets under a key. Equal sets are one class beforehand. In the bucket of a key all
-classes meet one pivot, the least by a hash of (key, class), so a bucket sends as many pairs as it has rows; different buckets have
-different pivots. Pairs are confirmed on full sets, linked, and classes joined into components; where a bucket still spans several
-components, pairs across them are taken in further rounds, each with new pivots, until no bucket spans components that were not compared.
+the chunk's other symbols. Every pair within the radius meets under a key. Equal sets are one class beforehand.
+
+Links are found in two steps. First all classes of a key are compared with one pivot, the class that shares most buckets with most classes,
+so a key sends as many pairs as it has rows; confirmed pairs are linked, and classes joined into components. Then, of each key whose classes
+are still in different components, all pairs across components are compared by signature, in tiles of bounded size; ids that hang together
+by such pairs form groups, and inside these groups all pairs across components are confirmed on full sets, again in tiles. Links inside a
+component are never needed, and no pair across components is left out.
 """
 
 from __future__ import annotations
@@ -20,8 +23,10 @@ from pyspark.sql import functions as F
 from sedimenta.llm.common import buffers, clean_name, lean, mix, slices, small_batches, sole_memory, table, word_hashes, written
 
 WORDS, NUM, DEN, SYMBOLS, CHUNK, SEED = 5, 80, 100, 80, 5, 77
-#: Signatures further apart than this are not confirmed: a pair at 0.8 is that far with a chance under 1e-9.
+#: Signatures further apart than this are not confirmed: a pair at 0.8 is that far with a chance under 1e-9. None confirms every pair that meets.
 FAR = 40
+#: Pairs of one pivot that are confirmed in one group, and shares that a pivot's rows are dealt to once it has more.
+PIVOT_PAIRS, SALTS, BROADCAST_KEYS = 64, 64, 100_000
 #: Rows that are compared in one group: of one key by signatures (160 bytes a row), of one group with texts.
 KEY_TILE, TILE = 8192, 512
 #: Edges of a graph that one task contracts.
@@ -131,20 +136,21 @@ def bucket_rows(classes: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return classes.select("id", "sig").mapInArrow(lean(run), "key long, id long")
 
 
-def near_enough(pairs: DataFrame, sigs: DataFrame, far: int = FAR) -> DataFrame:
-    """The pairs (a, b) whose signatures differ in `far` symbols at most."""
+def near_enough(pairs: DataFrame, sigs: DataFrame, far: int | None = FAR) -> DataFrame:
+    """The pairs (a, b) whose sizes allow a link and whose signatures differ in `far` symbols at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint16).reshape(b.num_rows, -1) for k in (2, 3))
-            keep = (x != y).sum(axis=1) <= far
+            keep = (x != y).sum(axis=1) <= (x.shape[1] if far is None else far)
             yield b.select(["a", "b"]).filter(pa.array(keep))
 
     one = sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"), F.col("n").alias("n_a"))
     two = sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("n").alias("n_b"))
-    both = pairs.join(one, "a").join(two, "b").where(F.least("n_a", "n_b") * DEN >= NUM * F.greatest("n_a", "n_b"))
+    dealt, share = _salted(pairs, "a", SALTS * PIVOT_PAIRS)
+    both = dealt.join(share(one), ["a", "_salt"]).drop("_salt").join(two, "b").where(F.least("n_a", "n_b") * DEN >= NUM * F.greatest("n_a", "n_b"))
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(lean(run), "a long, b long")
 
 
@@ -153,8 +159,12 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, num: int = NUM, den:
 
     Pairs of one pivot form groups of 64 at most, each with the pivot's text once, so that a pivot of very many pairs is many groups.
     """
-    kept = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)).over(_over("a")) / 64)).cast("long")))
-    left = kept.select("a", "part").distinct().join(texts.select(F.col("id").alias("a"), "text"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "text")
+    counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > PIVOT_PAIRS).select("a", F.ceil(F.col("m") / PIVOT_PAIRS).cast("long").alias("parts"))
+    dealt, share = _salted(pairs, "a", SALTS * PIVOT_PAIRS)
+    kept = dealt.join(share(counts), ["a", "_salt"], "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1)))).select("a", "part", "b", "_salt")
+    pivots = texts.join(pairs.select(F.col("a").alias("id")), "id", "left_semi").select(F.col("id").alias("a"), "text")
+    # each group once, with the salt of one of its pairs
+    left = kept.groupBy("a", "part").agg(F.min("_salt").alias("_salt")).join(share(pivots), ["a", "_salt"]).select("a", "part", F.lit(None).cast("long").alias("b"), "text")
     right = kept.join(texts.select(F.col("id").alias("b"), "text"), "b").select("a", "part", "b", "text")
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,10 +184,15 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, num: int = NUM, den:
     return left.unionByName(right).groupBy("a", "part").applyInArrow(run, "a long, b long")
 
 
-def _over(*keys: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*keys)
+def _salted(rows: DataFrame, key: str, most: int):
+    """(rows with _salt, share): keys with more than `most` rows are dealt to SALTS shares; share(other) repeats the other side's rows of
+    these keys for each share, and gives all others the salt 0. The list of such keys is short: one for `most` rows."""
+    hot = written(rows.groupBy(key).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > most).select(key, F.lit(SALTS).alias("_salts")), "hot-keys")
+    if not hot.head(1):
+        return rows.withColumn("_salt", F.lit(0)), lambda other: other.withColumn("_salt", F.lit(0))
+    few = F.broadcast(hot) if hot.count() <= BROADCAST_KEYS else hot
+    dealt = rows.join(few, key, "left").withColumn("_salt", F.pmod(F.xxhash64("b"), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    return dealt, lambda other: other.join(few, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
 
 
 def forest(edges: DataFrame) -> DataFrame:
@@ -284,14 +299,14 @@ def _columns(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return ids, c, n, np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint16).reshape(len(ids), -1)
 
 
-def _partners(k: int, c: np.ndarray, n: np.ndarray, sig: np.ndarray, far: int) -> np.ndarray:
+def _partners(k: int, c: np.ndarray, n: np.ndarray, sig: np.ndarray, far: int | None) -> np.ndarray:
     """Later rows of another component that sizes and signatures allow as partners of row k."""
     rest = slice(k + 1, None)
     ok = np.flatnonzero((c[rest] != c[k]) & (np.minimum(n[rest], n[k]) * DEN >= NUM * np.maximum(n[rest], n[k]))) + k + 1
-    return ok[(sig[ok] != sig[k]).sum(axis=1) <= far] if len(ok) else ok
+    return ok[(sig[ok] != sig[k]).sum(axis=1) <= far] if len(ok) and far is not None else ok
 
 
-def near_groups(open_: DataFrame, far: int = FAR) -> DataFrame:
+def near_groups(open_: DataFrame, far: int | None = FAR) -> DataFrame:
     """(id, g): groups of ids that hang together by pairs under one key that are in different components and near by their signatures.
 
     open_ (key, id, c, n, sig). Tasks keep one set of ids each and put out stars, not pairs.
@@ -309,7 +324,7 @@ def near_groups(open_: DataFrame, far: int = FAR) -> DataFrame:
     return components(written(by_tiles(open_, "key", KEY_TILE).mapInArrow(lean(run), "a long, b long"), "stars")).select("id", F.col("component").alias("g"))
 
 
-def group_links(members: DataFrame, words: int, far: int = FAR, num: int = NUM, den: int = DEN) -> DataFrame:
+def group_links(members: DataFrame, words: int, far: int | None = FAR, num: int = NUM, den: int = DEN) -> DataFrame:
     """(a, b): links between different components inside groups, on full sets; of several that join the same components in a task, one.
 
     members (g, id, c, n, sig, text). A text travels once for each tile of its group, not for each pair.
@@ -338,7 +353,7 @@ def group_links(members: DataFrame, words: int, far: int = FAR, num: int = NUM,
     return by_tiles(members, "g", TILE).mapInArrow(lean(run), "a long, b long")
 
 
-def link_classes(classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+def link_classes(classes: DataFrame, texts: DataFrame, words: int, far: int | None = FAR) -> DataFrame:
     """(id, component) of the classes that are linked with others.
 
     All classes of a bucket are compared with one pivot, the class that shares most buckets with most classes, which joins nearly all that
@@ -351,32 +366,34 @@ def link_classes(classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     ranked = held.join(held.groupBy("id").agg(F.sum("m").alias("reach")), "id")
     pivot = ranked.groupBy("key").agg(F.max(F.struct("reach", (-F.col("id")).alias("less"))).alias("p")).select("key", (-F.col("p.less")).alias("pivot"))
     pairs = held.join(pivot, "key").where("id != pivot").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
-    links = written(confirm(near_enough(pairs, classes), texts, words), "links")
+    near = written(near_enough(written(pairs, "pairs"), classes, far), "near-pairs")
+    links = written(confirm(near, texts, words), "links")
     found = written(components(links), "components")
     named = held.where("m > 2").select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
     light = classes.select("id", "n", "sig")
-    grouped = written(near_groups(named.join(mixed, "key", "left_semi").join(light, "id")), "groups")
+    grouped = written(near_groups(named.join(mixed, "key", "left_semi").join(light, "id"), far), "groups")
     if not grouped.head(1):
         return found
     members = grouped.join(found, "id", "left").select("g", "id", F.coalesce("component", "id").alias("c")).join(light, "id").join(texts, "id")
-    more = written(group_links(members.select("g", "id", "c", "n", "sig", "text"), words), "links")
+    more = written(group_links(members.select("g", "id", "c", "n", "sig", "text"), words, far), "links")
     return written(components(links.union(more)), "components")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, far: int | None = FAR) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of docs (doc_id, text).
 
     Texts that are null or without words have no shingles, link with nothing and are kept. Rows that repeat (same id and text) are one
-    document and come back as often as they are there, all kept or none; rows of one id with several texts link through any of them. Null ids stay apart from all others and are kept. The component
-    is named by its least doc_id. An empty table gives an empty one; other columns play no part.
+    document and come back as often as they are there, all kept or none; rows of one id with several texts link through any of them. Null
+    ids stay apart from all others and are kept. The component is named by its least doc_id. Texts of any length are shingled whole. An empty
+    table gives an empty one; other columns play no part. far=None confirms all pairs that meet, however far their signatures are apart.
     """
     rows = written(profile(docs, words), "profiles")
     full = rows.where("n > 0 AND doc_id IS NOT NULL")
     classes = written(full.groupBy("set_hi", "set_lo", "n").agg(F.min("doc_id").alias("id"), F.min("sig").alias("sig")).select("set_hi", "set_lo", "n", "id", "sig"), "classes")
     ids = classes.select("id")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-    found = link_classes(classes, texts.join(ids, "id", "left_semi"), words)
+    found = link_classes(classes, texts.join(ids, "id", "left_semi"), words, far)
     named = classes.join(found, "id", "left").select("set_hi", "set_lo", "n", F.coalesce("component", "id").alias("component_id"))
     some = full.join(named, ["set_hi", "set_lo", "n"]).select("doc_id", "n", "component_id")
     none = rows.where("n = 0 OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))

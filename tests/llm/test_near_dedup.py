@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -120,3 +122,20 @@ def test_rows_of_one_id(spark):
     rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (3, "x y z")]
     got = sorted((r["doc_id"], r["component_id"]) for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect())
     assert got == [(1, 1), (1, 1), (2, 1), (3, 3)]
+
+
+def test_all_pairs_that_meet_may_be_confirmed_and_hot_pivots_are_salted(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"w{rng.randint(0, 300)}" for _ in range(60)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        w[rng.randrange(60)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda df: sorted((r["doc_id"], r["component_id"]) for r in df.collect())
+    want = key(N.near_duplicates(docs, words=2))
+    assert key(N.near_duplicates(docs, words=2, far=None)) == want
+    monkeypatch.setattr(N, "PIVOT_PAIRS", 8)
+    monkeypatch.setattr(N, "SALTS", 4)
+    assert key(N.near_duplicates(docs, words=2)) == want
