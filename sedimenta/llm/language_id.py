@@ -15,11 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import _LETTER, buffers, clean_name, lean, mix, remainder, slices, small_batches, sole_memory, table, word_spans
+from sedimenta.llm.common import _IS_WORD, _LETTER, batches_of, buffers, clean_name, lean, mix, remainder, slices, sole_memory, table, word_spans
 
 #: Bound of the training sample: documents per language, characters of a document in it, sequences of SEQUENCE words.
 SAMPLE_DOCS, SAMPLE_CHARS, SEQUENCES, SEQUENCE, EPOCHS = 120, 100_000, 1600, 64, 4
-HASH_BITS, STRETCH, SEED, LEAST_SCORE = 18, 32, 5, 0.4
+HASH_BITS, STRETCH, SEED = 18, 32, 5
+#: Half way between two languages in equal parts (1/2 each), which are kept, and three (1/3 each), where none is clear.
+LEAST_SCORE = 5 / 12
+#: Bytes of text that are labelled at once; longer rows are taken in parts of this size, cut at white space where there is any.
+PART_BYTES = 1 << 18
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[65:91] += 32
 
@@ -91,14 +95,91 @@ class Model:
         out = np.zeros((rows, size))
         if not f.n:
             return out
-        e = f.scores(self.weights)
-        psi = np.exp(e - e.max(axis=1, keepdims=True))
         counts = np.diff(f.first)
-        return marginals(psi, counts, np.exp(self.steps)) / np.maximum(counts, 1)[:, None]
+        return marginals(self._psi(f), counts, np.exp(self.steps)) / np.maximum(counts, 1)[:, None]
+
+    def _psi(self, f: Features) -> np.ndarray:
+        e = f.scores(self.weights)
+        return np.exp(e - e.max(axis=1, keepdims=True))
+
+    def long_shares(self, data: np.ndarray, most: int) -> np.ndarray:
+        """(labels,): shares() of one text of any length, in parts: the products of all parts come first, then each part is labelled with the
+        state before it and the one after it, so the result is exact and memory bounded by a part."""
+        step, size = np.exp(self.steps), len(self.labels)
+        cuts = word_cuts(data, most)
+        part = lambda i: Features(data, np.array(cuts[i : i + 2]))
+        products = [chain_product(self._psi(f), step) if (f := part(i)).n else None for i in range(len(cuts) - 1)]
+        own = [i for i, x in enumerate(products) if x is not None]
+        before, after = {}, {}
+        v = chain_start(step)
+        for i in own:
+            before[i] = v
+            v = v @ products[i]
+            v = v / v.sum()
+        v = np.ones(size)
+        for i in reversed(own):
+            after[i] = v
+            v = products[i] @ v
+            v = v / v.sum()
+        out, n = np.zeros(size), 0
+        for i in own:
+            f = part(i)
+            out += marginals(self._psi(f), np.array([f.n]), step, before[i], after[i])[0]
+            n += f.n
+        return out / max(n, 1)
+
+
+def word_cuts(data: np.ndarray, most: int) -> list[int]:
+    """Places from 0 to the end, at most about `most` apart, each at white space; a longer word stays whole."""
+    out, end = [0], len(data)
+    while out[-1] + most < end:
+        at, white = out[-1] + most, np.zeros(0, np.int64)
+        lo = out[-1]
+        while not len(white) and lo < at:  # the last white space of the part, else the first behind it
+            tail = max(lo, at - 4096)
+            white = np.flatnonzero(~_IS_WORD[data[tail:at]]) + tail
+            at = tail
+        if len(white) and white[-1] > lo:
+            out.append(int(white[-1]))
+            continue
+        at = lo + most
+        while at < end and not len(white := np.flatnonzero(~_IS_WORD[data[at : at + 4096]])):
+            at += 4096
+        if at >= end:
+            break
+        out.append(at + int(white[0]))
+    return [*out, end] if end > out[-1] else out
+
+
+def chain_start(step: np.ndarray) -> np.ndarray:
+    """The state before a chain: its first word has no step before it, and this vector undoes the step that the products take."""
+    return np.linalg.lstsq(step.T, np.ones(len(step)), rcond=None)[0]
+
+
+def chain_product(psi: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """The product of all steps of a chain, up to a factor: stretches side by side, then the stretches in turn."""
+    size = psi.shape[1]
+    n = -(-len(psi) // STRETCH)
+    padded = np.zeros((n * STRETCH, size))
+    padded[: len(psi)] = psi
+    on = (np.arange(n * STRETCH) < len(psi)).reshape(n, STRETCH)
+    padded = padded.reshape(n, STRETCH, size)
+    product = np.broadcast_to(np.eye(size), (n, size, size)).copy()
+    for t in range(STRETCH):
+        new = (product.reshape(-1, size) @ step).reshape(n, size, size) * padded[:, None, t]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            new /= new.sum(axis=(1, 2), keepdims=True)
+        product = np.where(on[:, t, None, None], new, product)
+    out = np.eye(size)
+    for p in product:
+        out = out @ p
+        out /= out.sum()
+    return out
 
 
-def marginals(psi: np.ndarray, counts: np.ndarray, step: np.ndarray) -> np.ndarray:
-    """(rows, labels): summed word marginals of chains that lie end to end in psi, all chains at once and exactly."""
+def marginals(psi: np.ndarray, counts: np.ndarray, step: np.ndarray, enter: np.ndarray | None = None, leave: np.ndarray | None = None) -> np.ndarray:
+    """(rows, labels): summed word marginals of chains that lie end to end in psi, all chains at once and exactly. enter and leave: the states
+    before and after the chains, if they are parts of longer ones."""
     rows, size = len(counts), psi.shape[1]
     stretches = -(-counts // STRETCH)
     first = np.cumsum(stretches) - stretches
@@ -117,7 +198,7 @@ def marginals(psi: np.ndarray, counts: np.ndarray, step: np.ndarray) -> np.ndarr
         product = np.where(on[:, t, None, None], new, product)
     # states before and after each stretch; the first word of a chain has no step before it, which the start state allows for
     before, after = np.empty((total, size)), np.empty((total, size))
-    begin = np.linalg.lstsq(step.T, np.ones(size), rcond=None)[0]
+    begin = chain_start(step) if enter is None else enter
     for k in range(int(stretches.max(initial=0))):
         own = first[stretches > k] + k
         if k == 0:
@@ -128,7 +209,7 @@ def marginals(psi: np.ndarray, counts: np.ndarray, step: np.ndarray) -> np.ndarr
     for k in range(1, int(stretches.max(initial=0)) + 1):
         own = first[stretches >= k] + stretches[stretches >= k] - k
         if k == 1:
-            after[own] = 1.0
+            after[own] = 1.0 if leave is None else leave
         else:
             v = np.einsum("nij,nj->ni", product[own + 1], after[own + 1])
             after[own] = v / v.sum(axis=1, keepdims=True)
@@ -243,9 +324,9 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with lang_pred and score (renamed if docs has such columns).
 
     Null texts and texts without a letter are `und` with score 0, and so is every text if nothing was learned. Score is the share of words,
-    in expectation, that are in the language. Rows that repeat, long texts and other columns need no care; an empty table stays empty.
+    in expectation, that are in the language. Texts of any length are labelled whole, in parts of bounded memory. Rows that repeat and other
+    columns need no care; an empty table stays empty.
     """
-    small_batches(docs.sparkSession)
     names = [clean_name(docs, n) for n in ("lang_pred", "score")]
     flag = clean_name(docs, "has_letter")
     sent = docs.sparkSession.sparkContext.broadcast((model.labels, model.weights, model.steps) if model else None)  # 2^HASH_BITS weights a label
@@ -259,8 +340,9 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             langs, scores = ["und"] * b.num_rows, [0.0] * b.num_rows
             if own:
                 data, offs = buffers(b.column(text_at))
-                for i, j in slices(offs, 1 << 18):
-                    shares = own.shares(data, offs[i : j + 1])
+                for i, j in slices(offs, PART_BYTES):
+                    long_ = offs[j] - offs[i] > 2 * PART_BYTES  # then it is one row
+                    shares = own.long_shares(data[offs[i] : offs[j]], PART_BYTES)[None] if long_ else own.shares(data, offs[i : j + 1])
                     best = shares.argmax(axis=1)
                     for k in range(i, j):
                         if letter[k]:
@@ -269,7 +351,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(langs), pa.array(scores, pa.float64())], names=[*columns_, *names])
 
     flagged = docs.withColumn(flag, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    return flagged.mapInArrow(lean(run), "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields) + f"`{names[0]}` string, `{names[1]}` double")
+    return batches_of(flagged, lean(run), "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields) + f"`{names[0]}` string, `{names[1]}` double")
 
 
 def keep_known(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:

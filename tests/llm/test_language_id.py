@@ -77,3 +77,23 @@ def test_nulls_letters_and_columns(docs, empty, rows):
     assert L.predict(empty, L.fit(empty)).collect() == [] and L.fit(empty) is None
     assert {r["lang_pred"] for r in L.predict(docs, None).collect()} == {"und"}
     assert L.keep_known(d).columns == d.columns
+
+
+def test_long_texts_are_labelled_in_parts_exactly():
+    import numpy as np
+
+    texts = [b"the quick brown fox jumps over a lazy dog and runs away from the house " * 30, b"der schnelle braune fuchs springt ueber den faulen hund und rennt weg vom haus " * 30]
+    model = L.train(texts, ["en", "de"], sequences=100, epochs=1)
+    data = np.frombuffer((texts[0][:900] + texts[1][:500]) * 8 + b"x" * 5000 + b"\n" + texts[0][:700], np.uint8)
+    want = model.shares(data, np.array([0, len(data)]))[0]
+    for most in (300, 1000, 4000, 100_000):
+        cuts = L.word_cuts(data, most)
+        assert cuts[0] == 0 and cuts[-1] == len(data) and cuts == sorted(set(cuts))
+        assert np.allclose(model.long_shares(data, most), want, atol=1e-9)
+
+
+def test_a_text_of_many_megabytes(spark):
+    long_ = "the quick brown fox jumps over the lazy dog " * 120_000
+    docs = spark.createDataFrame([(1, long_, "en"), (2, "der schnelle fuchs " * 50, "de"), (3, "the dog " * 50, "en")], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in L.predict(docs, L.train([b"the quick brown fox and the dog " * 20, b"der schnelle braune fuchs und hund " * 20], ["en", "de"], sequences=60, epochs=1)).collect()}
+    assert got == {1: "en", 2: "de", 3: "en"}
