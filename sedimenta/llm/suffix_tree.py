@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from sedimenta.llm.common import batches_of, buffers, lean, remainder, slices, table, word_hashes, written
 
 DEPTH, LEAST, DISCOUNT, GAIN = 3, 5, 0.75, 6.0
-#: Bits of the filter (16 MB), text of a block, codes that a task holds before it passes them on.
-FILTER_BITS, BLOCK_BYTES, HELD = 1 << 27, 16 << 20, 3_000_000
+#: Bits of the filter (8 MB), text of a block, codes that a task holds before it passes them on.
+FILTER_BITS, BLOCK_BYTES, HELD = 1 << 26, 16 << 20, 3_000_000
 END = np.uint64(0x5EED0F7E2D0FE4D5)
 _P = 0xD1342543DE82EF95
 
@@ -109,7 +109,7 @@ def _gathered(texts: DataFrame, columns_of: Callable[[np.ndarray, np.ndarray], l
 
 
 def filter_bits(codes: DataFrame) -> np.ndarray:
-    """The filter of codes (code): bitmaps of 32768 bits each are made where the codes are; 16 MB at most come to the driver at any size."""
+    """The filter of codes (code): bitmaps of 32768 bits each are made where the codes are; 8 MB at most come to the driver at any size."""
     at = F.col("code").bitwiseAND(F.lit(FILTER_BITS - 1))
     made = codes.groupBy(F.floor(at / 32768).alias("part")).agg(F.bitmap_construct_agg((at % 32768).cast("long")).alias("bits")).toArrow()
     out = np.zeros(FILTER_BITS // 8, np.uint8)
@@ -144,11 +144,10 @@ def learn(texts: DataFrame, depth: int = DEPTH, least: int = LEAST, discount: fl
     # alive: the candidates of the last order with the smoothed probability q of their last token after the others
     alive = words.where(F.col("n") >= least).withColumn("q", (F.col("n") + 1) / F.lit(total + 1.0 * (size + 1)))
     tables, bits = [words.withColumn("rest", none)], filter_bits(alive)
-    counts = _pass(texts, 1, None, bits, least) if depth else None
+    counts = _pass(texts, 1, bits, least) if depth else None
     for order in range(1, depth + 1):
-        found = filter_bits(counts)
-        both = _pass(texts, order + 1, bits, found, least, order < depth)
-        bits = bits | found
+        bits = bits | filter_bits(counts)
+        both = _pass(texts, order + 1, bits, least, order < depth)
         level = both.where("prefix != 0").join(alive.select(F.col("code").alias("prefix"), F.col("n").alias("context_n")), "prefix").join(alive.select(F.col("code").alias("suffix"), "q"), "suffix")
         counts = both.where("prefix = 0")
         tested = written(level.groupBy("prefix").agg(F.min("context_n").alias("n"), *_mass(discount)).where(F.col("n") * F.col("kl") >= gain).select("prefix", "rest"), "contexts")
@@ -161,36 +160,37 @@ def learn(texts: DataFrame, depth: int = DEPTH, least: int = LEAST, discount: fl
     return Tree(tables, bits, total, size, discount)
 
 
-def _pass(texts: DataFrame, order: int, bits: np.ndarray | None, found: np.ndarray, least: int, longer: bool = True) -> DataFrame:
-    """(code, n, prefix, suffix), least times or more: grams of `order` tokens that pass the filter `found`, with the grams that begin and
-    end them, and if `longer` the candidates of one token more, those whose beginning and end pass, with prefix and suffix 0.
+def _pass(texts: DataFrame, order: int, bits: np.ndarray, least: int, longer: bool = True) -> DataFrame:
+    """(code, n, prefix, suffix), least times or more: grams of `order` tokens that the filter knows, with the grams that begin and end them,
+    and if `longer` the candidates of one token more, those whose beginning and end it knows, with prefix and suffix 0.
 
-    One pass over the texts does both, and codes alone are dealt for most of what it counts. Words (bits None) have no parts to name.
+    One pass over the texts does both, and codes alone are dealt for most of what it counts. Words have no parts to name.
     """
-    sent, sent_found = (texts.sparkSession.sparkContext.broadcast(x) for x in (bits, found))  # of fixed size
+    sent = texts.sparkSession.sparkContext.broadcast(bits)  # of fixed size
 
     def columns_of(tokens: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-        codes, out = tokens, []
-        known = passes(sent_found.value, tokens) if sent.value is None else None
-        if known is None:
+        codes, known, out = tokens, None, []
+        if order > 1:
             parts = gram_codes(tokens, order - 1)
             alive = passes(sent.value, parts)
             n = max(0, len(parts) - 1)
             codes = parts[:n] * np.uint64(_P) + tokens[order - 1 : order - 1 + n]
-            known = alive[:n] & alive[1 : n + 1] & whole(first, n, order)
-            at = np.flatnonzero(known)
-            at = at[passes(sent_found.value, codes[at])]
-            known[:] = False
+            at = np.flatnonzero(alive[:n] & alive[1 : n + 1] & whole(first, n, order))
+            at = at[passes(sent.value, codes[at])]
+            known = np.zeros(n, bool)
             known[at] = True
             out.append((codes[at], parts[at], parts[at + 1]))
         if longer:
+            known = passes(sent.value, tokens) if known is None else known
             n = max(0, len(codes) - 1)
             at = np.flatnonzero(known[:n] & known[1 : n + 1] & whole(first, n, order + 1))
             more = codes[at] * np.uint64(_P) + tokens[at + order]
             out.append((more, np.zeros(len(more), np.uint64), np.zeros(len(more), np.uint64)))
-        return [np.concatenate([x[k] for x in out]) for k in range(3)] if out else [np.zeros(0, np.uint64)] * 3
+        return [np.concatenate([x[k] for x in out]) for k in range(3)]
 
-    return written(_gathered(texts, columns_of, ["prefix", "suffix"]).where(F.col("n") >= least), "counts")
+    made = written(_gathered(texts, columns_of, ["prefix", "suffix"]).where(F.col("n") >= least), "counts")
+    sent.destroy()  # the table stands for itself
+    return made
 
 
 def _mass(discount: float) -> list:
