@@ -119,21 +119,20 @@ def filter_bits(codes: DataFrame) -> np.ndarray:
 
 
 class Tree:
-    """tables: one per order of grams, (code, n, rest): how often, and the mass that the gram as a context leaves to its suffix, null where
-    it isn't retained. The first has all words of the training texts, the others the candidates. bits: the filter of all candidates."""
-
-    def __init__(self, tables: list[DataFrame], bits: np.ndarray, tokens: int, vocabulary: int, discount: float):
-        self.tables, self.bits, self.tokens, self.vocabulary, self.discount = tables, bits, tokens, vocabulary, discount
-
-    @property
-    def depth(self) -> int:
-        return len(self.tables) - 1
+    """words: (code, n, rest) of all words of the training texts: how often, and the mass that the word as a context leaves to its suffix,
+    null where it isn't retained. grams: the same of the candidates that scoring can need: retained contexts, and grams that follow one.
+    bits: the filter of all candidates; useful: that of words and grams as they are here."""
+
+    def __init__(self, words: DataFrame, levels: list[DataFrame], bits: np.ndarray, tokens: int, vocabulary: int, discount: float):
+        self.words, self.bits, self.tokens, self.vocabulary, self.discount = words, bits, tokens, vocabulary, discount
+        self.depth, self.grams = len(levels), None
+        for t in levels:
+            t = t.where("used OR rest IS NOT NULL").select("code", "n", "rest")
+            self.grams = t if self.grams is None else self.grams.union(t)
+        self.useful = filter_bits(self.grams) if levels else np.zeros(FILTER_BITS // 8, np.uint8)
 
     def lookup(self) -> DataFrame:
-        out = self.tables[0]
-        for t in self.tables[1:]:
-            out = out.union(t)
-        return out
+        return self.words if self.grams is None else self.words.union(self.grams)
 
 
 def learn(texts: DataFrame, depth: int = DEPTH, least: int = LEAST, discount: float = DISCOUNT, gain: float = GAIN) -> Tree:
@@ -143,7 +142,7 @@ def learn(texts: DataFrame, depth: int = DEPTH, least: int = LEAST, discount: fl
     none = F.lit(None).cast("double")
     # alive: the candidates of the last order with the smoothed probability q of their last token after the others
     alive = words.where(F.col("n") >= least).withColumn("q", (F.col("n") + 1) / F.lit(total + 1.0 * (size + 1)))
-    tables, bits = [words.withColumn("rest", none)], filter_bits(alive)
+    tables, bits = [words.select("code", "n", none.alias("rest"), F.lit(True).alias("used"))], filter_bits(alive)
     counts = _pass(texts, 1, bits, least) if depth else None
     for order in range(1, depth + 1):
         bits = bits | filter_bits(counts)
@@ -153,11 +152,11 @@ def learn(texts: DataFrame, depth: int = DEPTH, least: int = LEAST, discount: fl
         tested = written(level.groupBy("prefix").agg(F.min("context_n").alias("n"), *_mass(discount)).where(F.col("n") * F.col("kl") >= gain).select("prefix", "rest"), "contexts")
         if not tested.head(1):
             break
-        tables[-1] = tables[-1].drop("rest").join(tested.withColumnRenamed("prefix", "code"), "code", "left").select("code", "n", "rest")
+        tables[-1] = tables[-1].drop("rest").join(tested.withColumnRenamed("prefix", "code"), "code", "left").select("code", "n", "rest", "used")
         smoothed = F.when(F.col("rest").isNotNull(), (F.col("n") - discount) / F.col("context_n") + F.col("rest") * F.col("q")).otherwise(F.col("q"))
-        alive = written(level.join(tested, "prefix", "left").select("code", "n", smoothed.alias("q")), "grams")
-        tables.append(alive.select("code", "n", none.alias("rest")))
-    return Tree(tables, bits, total, size, discount)
+        alive = written(level.join(tested, "prefix", "left").select("code", "n", smoothed.alias("q"), F.col("rest").isNotNull().alias("used")), "grams")
+        tables.append(alive.select("code", "n", none.alias("rest"), "used"))
+    return Tree(tables[0].drop("used"), tables[1:], bits, total, size, discount)
 
 
 def _pass(texts: DataFrame, order: int, bits: np.ndarray, least: int, longer: bool = True) -> DataFrame:
@@ -240,13 +239,13 @@ def _finder(codes: np.ndarray, n: np.ndarray, rest: np.ndarray) -> Callable[[np.
 def score(docs: DataFrame, tree: Tree, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs (doc_id, text, held) -> doc_id, held, n_tokens, n_known, base_score, score; held is passed through.
 
-    Rows go to blocks of bounded size by a hash. Each block asks once for each word and each gram that the filter knows, the tree's tables
+    Rows go to blocks of bounded size by a hash. Each block asks once for each word and each gram that the filters know, the tree's tables
     answer by a join, and the block's rows are scored with the answers.
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-int(size) // block_bytes))
-    sent, depth, settings = spark.sparkContext.broadcast(tree.bits), tree.depth, (tree.tokens, tree.vocabulary, tree.discount)
+    sent, useful, depth, settings = spark.sparkContext.broadcast(tree.bits), spark.sparkContext.broadcast(tree.useful), tree.depth, (tree.tokens, tree.vocabulary, tree.discount)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks)
     blocked = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).select("text", "doc_id", "held", "block").repartition(parts, "block")
 
@@ -273,6 +272,7 @@ def score(docs: DataFrame, tree: Tree, block_bytes: int = BLOCK_BYTES) -> DataFr
                     grams = grams[:longer] * np.uint64(_P) + tokens[order - 1 : order - 1 + longer]
                     known = known[:longer] & known[1 : longer + 1] & passes(sent.value, grams)
                     at = np.flatnonzero(known & whole(first, longer, order))
+                    at = at[passes(useful.value, grams[at])]
                     codes.append(grams[at])
                     of.append(block[row[at]])
                 codes, of = np.concatenate(codes), np.concatenate(of)
@@ -292,7 +292,7 @@ def score(docs: DataFrame, tree: Tree, block_bytes: int = BLOCK_BYTES) -> DataFr
         cols: tuple[list, ...] = ([], [], [], [])
         for i, j in slices(offs):
             tokens, first = token_hashes(data, offs[i : j + 1])
-            counts, base, model = token_scores(tokens, first, find, depth, sent.value, *settings)
+            counts, base, model = token_scores(tokens, first, find, depth, useful.value, *settings)
             for to, x in zip(cols, (np.diff(first), *(np.add.reduceat(v, first[:-1]) for v in ((counts > 0).astype(np.int64), base, model))), strict=True):
                 to.append(x)
         got = [pa.array(np.concatenate(c)) if c else pa.array([], t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
