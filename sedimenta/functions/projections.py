@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.functions.text import squash
 
+# Fixed values.
 SURFACE_KEYS = ("best_guess_kind", "summary", "entities", "salient_facts", "language", "confidence", "source_attribution")
 
 

@@ -9,6 +9,7 @@ from sedimenta.functions.text import SLUG, slugify
 from sedimenta.operators.graph import resolve
 from sedimenta.operators.latest import latest_by
 
+# Fixed values.
 PROTECTED, NOT_LIVE, MOST_REASSIGNED = "other", ("deprecate", "rename", "merge"), 50
 VARIANTS = {"org": "organization", "organisation": "organization", "people": "person", "human": "person", "individual": "person", "places": "place", "location": "place", "city": "place", "country": "place"}
 

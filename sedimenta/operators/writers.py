@@ -23,12 +23,20 @@ def checked(new: DataFrame, ok: Column) -> tuple[DataFrame, DataFrame]:
     return new.where(mark), new.where(~mark)
 
 
+def first_by(new: DataFrame, keys: list[str]) -> DataFrame:
+    """One row a key, the least of all its other columns, so that reruns agree; maps, which have no order, take any."""
+    rest = [f.name for f in new.schema.fields if f.name not in keys]
+    if not rest or any("map<" in f.dataType.simpleString() for f in new.schema.fields):
+        return new.dropDuplicates(keys)
+    return new.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_least")).select(*[F.col(c) if c in keys else F.col(f"_least.`{c}`").alias(c) for c in new.columns])
+
+
 def once(log: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """UNIQUE(keys) in a log: first rows whose key the log lacks. Keys with a null never collide, as in SQL."""
     some = F.lit(False)
     for k in keys:
         some = some | F.col(k).isNull()
-    fresh = new.where(~some).dropDuplicates(keys).join(log.select(*keys), keys, "left_anti")
+    fresh = first_by(new.where(~some), keys).join(log.select(*keys), keys, "left_anti")
     return fresh.unionByName(new.where(some)) if any(new.schema[k].nullable for k in keys) else fresh
 
 
@@ -36,7 +44,7 @@ def interpretations(log: DataFrame, new: DataFrame) -> DataFrame:
     """Insert if (event_hash, version, produced_by) is new; where that row failed, append under produced_by#retryN, N its attempts so far."""
     base = F.regexp_replace("produced_by", "#retry.*$", "")
     tried = log.withColumn("base", base).groupBy("event_hash", "version", "base").agg(F.count(F.lit(1)).alias("attempts"), F.max(F.when(F.col("produced_by") == F.col("base"), F.col("status"))).alias("first_status"))
-    met = new.dropDuplicates(["event_hash", "version", "produced_by"]).join(tried.withColumnRenamed("base", "produced_by"), ["event_hash", "version", "produced_by"], "left")
+    met = first_by(new, ["event_hash", "version", "produced_by"]).join(tried.withColumnRenamed("base", "produced_by"), ["event_hash", "version", "produced_by"], "left")
     keep = met.where(F.col("attempts").isNull() | (F.col("first_status") == "failed"))
     name = F.when(F.col("attempts").isNull(), F.col("produced_by")).otherwise(F.concat("produced_by", F.lit("#retry"), F.col("attempts").cast("string")))
     return keep.withColumn("produced_by", name).select(*new.columns)

@@ -6,7 +6,7 @@ import importlib
 
 from sedimenta.plans.base import QUERIES, SQL
 
-for _name in ("retrieval", "overlays", "aggregates", "graph", "scoring", "incremental", "quality", "writers", "jobs"):
+for _name in ("retrieval", "overlays", "aggregates", "graph", "scoring", "incremental", "quality", "writers", "jobs", "applied", "reads"):
     importlib.import_module(f"sedimenta.plans.q_{_name}")
 
 __all__ = ["QUERIES", "SQL"]

@@ -16,12 +16,15 @@ def pdf_text(content: bytes) -> str:
 
     parts, n = [], 0
     for page in PdfReader(io.BytesIO(content)).pages:
-        t = page.extract_text() or ""
+        try:
+            t = page.extract_text() or ""
+        except Exception:  # noqa: BLE001  one broken page says nothing, the others do
+            continue
         parts.append(t)
         n += len(t)
-        if n > MOST_CHARS:
-            return "\n".join(parts)[:MOST_CHARS] + MARK
-    return "\n".join(parts)
+        if n >= MOST_CHARS:  # with the page that reaches it
+            return "\n\n".join(parts) + MARK
+    return "\n\n".join(parts)
 
 
 def plain_text(content: bytes) -> str:
