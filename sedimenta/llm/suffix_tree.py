@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ from sedimenta.llm.common import batches_of, buffers, lean, remainder, slices, t
 DEPTH, LEAST, DISCOUNT, GAIN = 3, 5, 0.75, 6.0
 #: Bits of the filter (8 MB), text of a block, codes that a task holds before it passes them on.
 FILTER_BITS, BLOCK_BYTES, HELD = 1 << 26, 16 << 20, 3_000_000
+#: Rounds in which the blocks are scored, one after the other, so that shuffle files of a share of them lie on disk at a time.
+WAVES = 3
 END = np.uint64(0x5EED0F7E2D0FE4D5)
 _P = 0xD1342543DE82EF95
 
@@ -236,18 +239,28 @@ def _finder(codes: np.ndarray, n: np.ndarray, rest: np.ndarray) -> Callable[[np.
     return find
 
 
-def score(docs: DataFrame, tree: Tree, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, tree: Tree, block_bytes: int = BLOCK_BYTES, waves: int = WAVES) -> DataFrame:
     """docs (doc_id, text, held) -> doc_id, held, n_tokens, n_known, base_score, score; held is passed through.
 
-    Rows go to blocks of bounded size by a hash. Each block asks once for each word and each gram that the filters know, the tree's tables
-    answer by a join, and the block's rows are scored with the answers.
+    Rows go to blocks of bounded size by a hash, and every block is scored in one of the waves. A block asks once for each word and each
+    gram that the filters know, the tree's tables answer by a join, and the block's rows are scored with the answers.
     """
-    spark = docs.sparkSession
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-int(size) // block_bytes))
-    sent, useful, depth, settings = spark.sparkContext.broadcast(tree.bits), spark.sparkContext.broadcast(tree.useful), tree.depth, (tree.tokens, tree.vocabulary, tree.discount)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks)
-    blocked = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).select("text", "doc_id", "held", "block").repartition(parts, "block")
+    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).select("text", "doc_id", "held", "block")
+    context = docs.sparkSession.sparkContext
+    sent = context.broadcast(tree.bits), context.broadcast(tree.useful)
+    out = None
+    for w in range(min(waves, blocks)):
+        part = written(_scored(dealt.where(F.col("block") % min(waves, blocks) == w), tree, -(-blocks // waves), *sent), "scores")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _scored(dealt: DataFrame, tree: Tree, blocks: int, sent: Broadcast, useful: Broadcast) -> DataFrame:
+    depth, settings = tree.depth, (tree.tokens, tree.vocabulary, tree.discount)
+    parts = max(int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks)
+    blocked = dealt.repartition(parts, "block")
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
