@@ -9,7 +9,8 @@ are added until none is. Retained distributions are discounted and leave the res
 add-one unigram distribution over all training tokens. A token is scored at the longest retained suffix.
 
 Nothing that grows with the corpus comes to the driver or is broadcast. Texts are dealt to blocks, and each block asks for the grams it
-holds once.
+holds once. What is dealt are cells: the sorted codes of one task or block in one shard (a range of codes), packed into a row; a shard holds
+about as many codes at any size.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - pa.compute
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 from sedimenta.llm.common import batches_of, buffers, lean, remainder, slices, table, word_hashes, written
 
 DEPTH, LEAST, DISCOUNT, GAIN = 3, 5, 0.75, 6.0
-#: Bits of the filter (8 MB), text of a block, codes that a task holds before it passes them on.
-FILTER_BITS, BLOCK_BYTES, HELD = 1 << 26, 16 << 20, 3_000_000
+#: Bits of the filter (8 MB), text of a block, codes that a task holds before it passes them on, codes of a shard at most about.
+FILTER_BITS, BLOCK_BYTES, HELD, SHARD = 1 << 26, 16 << 20, 3_000_000, 1_000_000
 #: Rounds in which the blocks are scored, one after the other, so that shuffle files of a share of them lie on disk at a time.
 WAVES = 3
 END = np.uint64(0x5EED0F7E2D0FE4D5)
@@ -69,52 +71,128 @@ def passes(bits: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def _uniques(codes: np.ndarray, rest: list[np.ndarray], n: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    order = np.argsort(codes, kind="stable")
-    codes, n = codes[order], n[order]
-    at = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
-    return codes[at], [x[order][at] for x in rest], np.add.reduceat(n, at)
+def _counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order, and how often each occurs. Sorting codes alone is many times faster than sorting with columns beside them."""
+    codes = np.sort(codes)
+    at = _starts(codes)
+    return codes[at], np.diff(np.append(at, len(codes)))
 
 
-def _gathered(texts: DataFrame, columns_of: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], names: list[str], most: int = HELD) -> DataFrame:
-    """(code, n, other names) over all rows of texts: codes summed in the tasks, then by code. Equal codes have equal other columns."""
-    kinds = ", ".join(f"{c} long" for c in ["code", "n", *names])
+def _summed(codes: np.ndarray, n: np.ndarray, rest: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct codes in order, their n summed, and the other columns, which are equal where codes are."""
+    order = np.argsort(codes)
+    codes = codes[order]
+    at = _starts(codes)
+    return codes[at], np.add.reduceat(n[order], at) if len(at) else n, [x[order[at]] for x in rest]
+
+
+def _starts(ordered: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+
+
+def shards_of(size: int) -> int:
+    """Shards for the codes of texts of so many bytes: about SHARD codes each, whatever the size."""
+    return max(1, -(-size // (8 * SHARD)))
+
+
+def _cells(codes: np.ndarray, columns: list[np.ndarray], shards: int) -> Iterator[tuple[np.ndarray, list[pa.Array]]]:
+    """Codes in order, and columns of 8 bytes a value beside them, cut into cells by shard (the code's range): (shards, binary arrays).
+    A cell is a row, so that the rows that Spark handles are fewer by far than the codes; some 1,000,000 codes at a time."""
+    shard = np.minimum(codes // np.uint64((1 << 64) // shards), np.uint64(shards - 1)) if shards > 1 else np.zeros(len(codes), np.uint64)
+    at = np.append(_starts(shard), len(codes))
+    i = 0
+    while i < len(at) - 1:
+        j = max(i + 1, int(np.searchsorted(at, at[i] + 1_000_000, side="right")) - 1)
+        offs = pa.py_buffer(((at[i : j + 1] - at[i]) * 8).astype(np.int32))
+        part = [np.ascontiguousarray(x[at[i] : at[j]]) for x in [codes, *columns]]
+        yield shard[at[i:j]].astype(np.int64), [pa.Array.from_buffers(pa.binary(), j - i, [None, offs, pa.py_buffer(x)]) for x in part]
+        i = j
+
+
+def _joined(cells: pa.ChunkedArray, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(cells.to_pylist()), kind)
+
+
+def _gathered(texts: DataFrame, parts_of: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, list[np.ndarray]]], least: int = 1, most: int = HELD) -> DataFrame:
+    """(code, n, prefix, suffix) over all rows of texts, n at least `least`. parts_of: tokens of some rows -> (codes, named), named being
+    none or codes with a prefix and a suffix, equal where codes are; the others get 0 and 0. Counted in the tasks, then by shard."""
+    shards = shards_of(_size(texts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, list[np.ndarray], np.ndarray]] = []
-        total = 0
+        raw: list[np.ndarray] = []  # codes as they come
+        kept = (np.zeros(0, np.uint64), np.zeros(0, np.int64), [])  # those counted
+        named: list[tuple[np.ndarray, np.ndarray, list[np.ndarray]]] = []
+        new = new_named = 0
+
+        def out(codes: np.ndarray, n: np.ndarray, rest: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for shard, (code, count, *others) in _cells(codes, [n.astype(np.int64), *rest], shards):
+                others = others or [pa.array([b""] * len(shard), pa.binary())] * 2
+                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(np.full(len(shard), bool(rest))), code, count, *others], names=["shard", "named", "code", "n", "prefix", "suffix"])
 
-        def out(codes: np.ndarray, rest: list[np.ndarray], n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            columns = [codes.view(np.int64), n.astype(np.int64), *[x.view(np.int64) for x in rest]]
-            for at in range(0, len(codes), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[at : at + 200_000])) for x in columns], names=["code", "n", *names])
+        def counted() -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+            codes, n = _counted(np.concatenate(raw))
+            return _summed(np.concatenate([kept[0], codes]), np.concatenate([kept[1], n]), []) if len(kept[0]) else (codes, n, [])
 
-        def merged() -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-            return _uniques(np.concatenate([c for c, _, _ in held]), [np.concatenate([r[k] for _, r, _ in held]) for k in range(len(names))], np.concatenate([n for _, _, n in held]))
+        def together() -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+            return _summed(np.concatenate([c for c, _, _ in named]), np.concatenate([n for _, n, _ in named]), [np.concatenate([r[k] for _, _, r in named]) for k in range(2)])
 
         for batch in batches:
             data, offs = buffers(batch.column(0))
             for i, j in slices(offs):
-                codes, *rest = columns_of(*token_hashes(data, offs[i : j + 1]))
-                if len(codes):
-                    held.append((codes, rest, np.ones(len(codes), np.int64)))
-                    total += len(codes)
-                if total >= most:
-                    held = [merged()]
-                    total = len(held[0][0])
-                    if total >= most // 2:
-                        yield from out(*held[0])
-                        held, total = [], 0
-        if held:
-            yield from out(*merged())
-
-    return batches_of(texts, lean(run), kinds).groupBy("code").agg(F.sum("n").alias("n"), *[F.max(c).alias(c) for c in names])
+                codes, more = parts_of(*token_hashes(data, offs[i : j + 1]))
+                raw.append(codes)
+                new += len(codes)
+                if more and len(more[0]):
+                    named.append((more[0], np.ones(len(more[0]), np.int64), more[1:]))
+                    new_named += len(more[0])
+                if new + len(kept[0]) >= most:
+                    kept, raw, new = counted(), [], 0
+                    if len(kept[0]) >= most // 2:
+                        yield from out(*kept)
+                        kept = (np.zeros(0, np.uint64), np.zeros(0, np.int64), [])
+                if new_named >= most // 3:
+                    named = [together()]
+                    new_named = len(named[0][0])
+                    if new_named >= most // 6:
+                        yield from out(*named[0])
+                        named, new_named = [], 0
+        if raw or len(kept[0]):
+            yield from out(*(counted() if raw else kept))
+        if named:
+            yield from out(*together())
+
+    def merged(cells: pa.Table) -> pa.Table:
+        out = []
+        for is_named in (False, True):
+            part = cells.filter(pa.compute.equal(cells.column("named"), is_named))
+            codes, n = _joined(part.column("code"), np.uint64), _joined(part.column("n"), np.int64)
+            codes, n, rest = _summed(codes, n, [_joined(part.column(c), np.uint64) for c in ("prefix", "suffix")] if is_named else [])
+            keep = n >= least
+            rest = [x[keep] for x in rest] or [np.zeros(int(keep.sum()), np.uint64)] * 2
+            out.append([codes[keep].view(np.int64), n[keep], *(x.view(np.int64) for x in rest)])
+        return pa.table([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["code", "n", "prefix", "suffix"])
+
+    cells = batches_of(texts, lean(run), "shard long, named boolean, code binary, n binary, prefix binary, suffix binary")
+    return cells.groupBy("shard").applyInArrow(merged, "code long, n long, prefix long, suffix long")
+
+
+def _size(texts: DataFrame) -> int:
+    return int(texts.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0)
 
 
 def filter_bits(codes: DataFrame) -> np.ndarray:
     """The filter of codes (code): bitmaps of 32768 bits each are made where the codes are; 8 MB at most come to the driver at any size."""
-    at = F.col("code").bitwiseAND(F.lit(FILTER_BITS - 1))
-    made = codes.groupBy(F.floor(at / 32768).alias("part")).agg(F.bitmap_construct_agg((at % 32768).cast("long")).alias("bits")).toArrow()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS, bool)
+        for batch in batches:
+            bits[batch.column(0).to_numpy().view(np.uint64) & np.uint64(FILTER_BITS - 1)] = True
+        rows = np.packbits(bits, bitorder="little").reshape(-1, 4096)
+        at = np.flatnonzero(rows.any(axis=1))
+        for i in range(0, len(at), 256):
+            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 256]), pa.array([rows[k].tobytes() for k in at[i : i + 256]], pa.binary())], names=["part", "bits"])
+
+    made = batches_of(codes.select("code"), lean(run), "part long, bits binary").groupBy("part").agg(F.bitmap_or_agg("bits").alias("bits")).toArrow()
     out = np.zeros(FILTER_BITS // 8, np.uint8)
     for part, bits in zip(made.column(0).to_pylist(), made.column(1).to_pylist(), strict=True):
         out[part * 4096 : part * 4096 + 4096] = np.frombuffer(bits, np.uint8)
@@ -140,7 +218,7 @@ class Tree:
 
 def learn(texts: DataFrame, depth: int = DEPTH, least: int = LEAST, discount: float = DISCOUNT, gain: float = GAIN) -> Tree:
     """A tree from texts (one binary column)."""
-    words = written(_gathered(texts, lambda tokens, first: [tokens], []), "vocabulary")
+    words = written(_gathered(texts, lambda tokens, first: (tokens, [])).select("code", "n"), "vocabulary")
     size, total = (int(x or 0) for x in words.agg(F.count(F.lit(1)), F.sum("n")).first())
     none = F.lit(None).cast("double")
     # alive: the candidates of the last order with the smoothed probability q of their last token after the others
@@ -170,8 +248,8 @@ def _pass(texts: DataFrame, order: int, bits: np.ndarray, least: int, longer: bo
     """
     sent = texts.sparkSession.sparkContext.broadcast(bits)  # of fixed size
 
-    def columns_of(tokens: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-        codes, known, out = tokens, None, []
+    def parts_of(tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        codes, known, named, more = tokens, None, [], np.zeros(0, np.uint64)
         if order > 1:
             parts = gram_codes(tokens, order - 1)
             alive = passes(sent.value, parts)
@@ -181,16 +259,15 @@ def _pass(texts: DataFrame, order: int, bits: np.ndarray, least: int, longer: bo
             at = at[passes(sent.value, codes[at])]
             known = np.zeros(n, bool)
             known[at] = True
-            out.append((codes[at], parts[at], parts[at + 1]))
+            named = [codes[at], parts[at], parts[at + 1]]
         if longer:
             known = passes(sent.value, tokens) if known is None else known
             n = max(0, len(codes) - 1)
             at = np.flatnonzero(known[:n] & known[1 : n + 1] & whole(first, n, order + 1))
             more = codes[at] * np.uint64(_P) + tokens[at + order]
-            out.append((more, np.zeros(len(more), np.uint64), np.zeros(len(more), np.uint64)))
-        return [np.concatenate([x[k] for x in out]) for k in range(3)]
+        return more, named
 
-    made = written(_gathered(texts, columns_of, ["prefix", "suffix"]).where(F.col("n") >= least), "counts")
+    made = written(_gathered(texts, parts_of, least), "counts")
     sent.destroy()  # the table stands for itself
     return made
 
@@ -226,8 +303,7 @@ def token_scores(tokens: np.ndarray, first: np.ndarray, find: Callable[[np.ndarr
 
 
 def _finder(codes: np.ndarray, n: np.ndarray, rest: np.ndarray) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    order = np.argsort(codes)
-    codes, n, rest = codes[order], n[order], rest[order]
+    """Looks codes up that are in order and distinct."""
 
     def find(wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(codes):
@@ -243,21 +319,45 @@ def score(docs: DataFrame, tree: Tree, block_bytes: int = BLOCK_BYTES, waves: in
     """docs (doc_id, text, held) -> doc_id, held, n_tokens, n_known, base_score, score; held is passed through.
 
     Rows go to blocks of bounded size by a hash, and every block is scored in one of the waves. A block asks once for each word and each
-    gram that the filters know, the tree's tables answer by a join, and the block's rows are scored with the answers.
+    gram that the filters know, in one row a shard of codes; the tree's shards answer, and the block's rows are scored with the answers.
     """
-    size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-int(size) // block_bytes))
+    size = _size(docs)
+    blocks, shards = max(1, -(-size // block_bytes)), shards_of(size)
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).select("text", "doc_id", "held", "block")
     context = docs.sparkSession.sparkContext
     sent = context.broadcast(tree.bits), context.broadcast(tree.useful)
+    packed = written(_packed(tree.lookup(), shards), "shards")
     out = None
     for w in range(min(waves, blocks)):
-        part = written(_scored(dealt.where(F.col("block") % min(waves, blocks) == w), tree, -(-blocks // waves), *sent), "scores")
+        part = written(_scored(dealt.where(F.col("block") % min(waves, blocks) == w), tree, packed, shards, -(-blocks // waves), *sent), "scores")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _scored(dealt: DataFrame, tree: Tree, blocks: int, sent: Broadcast, useful: Broadcast) -> DataFrame:
+def _packed(lookup: DataFrame, shards: int) -> DataFrame:
+    """(shard, code, n, rest) with many values a row from lookup (code, n, rest)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            codes, n, rest = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(codes)
+            for shard, cells in _cells(codes[order], [n[order], rest[order]], shards):
+                yield pa.RecordBatch.from_arrays([pa.array(shard), *cells], names=["shard", "code", "n", "rest"])
+
+        for batch in batches:
+            held.append([batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False).astype(np.float64)])
+            if len(held) * 512 >= HELD // 3:
+                yield from out()
+                held = []
+        if held:
+            yield from out()
+
+    return batches_of(lookup.select("code", "n", "rest"), lean(run), "shard long, code binary, n binary, rest binary")
+
+
+def _scored(dealt: DataFrame, tree: Tree, packed: DataFrame, shards: int, blocks: int, sent: Broadcast, useful: Broadcast) -> DataFrame:
     depth, settings = tree.depth, (tree.tokens, tree.vocabulary, tree.discount)
     parts = max(int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks)
     blocked = dealt.repartition(parts, "block")
@@ -266,12 +366,6 @@ def _scored(dealt: DataFrame, tree: Tree, blocks: int, sent: Broadcast, useful:
         held: dict[int, list[np.ndarray]] = {}
         new: dict[int, int] = {}
 
-        def out(b: int) -> Iterator[pa.RecordBatch]:
-            codes = np.unique(np.concatenate(held.pop(b))).view(np.int64)
-            for at in range(0, len(codes), 200_000):
-                part = codes[at : at + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), b, np.int64)), pa.array(part)], names=["block", "code"])
-
         for batch in batches:
             data, offs = buffers(batch.column(0))
             block = batch.column(3).to_numpy()
@@ -290,17 +384,34 @@ def _scored(dealt: DataFrame, tree: Tree, blocks: int, sent: Broadcast, useful:
                     of.append(block[row[at]])
                 codes, of = np.concatenate(codes), np.concatenate(of)
                 for b in np.unique(of).tolist():
-                    held.setdefault(b, []).append(np.unique(codes[of == b]))
-                    new[b] = new.get(b, 0) + 1
-                    if new[b] > 32:  # what was seen before stands first and is merged with the new
-                        held[b], new[b] = [np.unique(np.concatenate(held[b]))], 0
+                    own = _counted(codes[of == b])[0]
+                    held.setdefault(b, []).append(own)
+                    new[b] = new.get(b, 0) + len(own)
+                    if new[b] > HELD // 3:  # what was seen before stands first and is merged with the new
+                        held[b], new[b] = [_counted(np.concatenate(held[b]))[0]], 0
         for b in list(held):
-            yield from out(b)
-
-    answers = batches_of(blocked, lean(asked), "block long, code long").join(tree.lookup(), "code").select("block", "code", "n", "rest")
+            for shard, (code,) in _cells(_counted(np.concatenate(held.pop(b)))[0], [], shards):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(shard), b, np.int64)), pa.array(shard), code], names=["block", "shard", "code"])
+
+    def answered(asks: pa.Table, cells: pa.Table) -> pa.Table:
+        codes, n, rest = _joined(cells.column("code"), np.uint64), _joined(cells.column("n"), np.int64), _joined(cells.column("rest"), np.float64)
+        order = np.argsort(codes)
+        find = _finder(codes[order], n[order], rest[order])
+        out = []
+        for code in asks.column("code").to_pylist():
+            code = np.frombuffer(code, np.uint64)
+            got_n, got_rest = find(code)
+            hit = got_n > 0
+            out.append((code[hit].tobytes(), got_n[hit].tobytes(), got_rest[hit].tobytes()))
+        columns = zip(*out, strict=True) if out else ([], [], [])
+        return pa.table([asks.column("block"), asks.column("shard"), *(pa.array(list(x), pa.binary()) for x in columns)], names=["block", "shard", "code", "n", "rest"])
+
+    asks = batches_of(blocked, lean(asked), "block long, shard long, code binary")
+    answers = asks.groupBy("shard").cogroup(packed.groupBy("shard")).applyInArrow(answered, "block long, shard long, code binary, n binary, rest binary")
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
-        find = _finder(right.column("code").to_numpy().astype(np.int64).view(np.uint64), right.column("n").to_numpy(), right.column("rest").to_numpy(zero_copy_only=False).astype(np.float64))
+        right = right.sort_by("shard")  # shards are ranges, so all codes are in order then
+        find = _finder(_joined(right.column("code"), np.uint64), _joined(right.column("n"), np.int64), _joined(right.column("rest"), np.float64))
         data, offs = buffers(left.column("text"))
         cols: tuple[list, ...] = ([], [], [], [])
         for i, j in slices(offs):
