@@ -97,20 +97,27 @@ def shards_of(size: int) -> int:
 
 def _cells(codes: np.ndarray, columns: list[np.ndarray], shards: int) -> Iterator[tuple[np.ndarray, list[pa.Array]]]:
     """Codes in order, and columns of 8 bytes a value beside them, cut into cells by shard (the code's range): (shards, binary arrays).
-    A cell is a row, so that the rows that Spark handles are fewer by far than the codes; some 1,000,000 codes at a time."""
+    A cell is a row, so that the rows that Spark handles are fewer by far than the codes; some 1,000,000 codes at a time. In a cell the first
+    bytes of all values come first, then the second ones: leading bytes of sorted codes and of counts repeat, which shuffles compress."""
     shard = np.minimum(codes // np.uint64((1 << 64) // shards), np.uint64(shards - 1)) if shards > 1 else np.zeros(len(codes), np.uint64)
     at = np.append(_starts(shard), len(codes))
     i = 0
     while i < len(at) - 1:
         j = max(i + 1, int(np.searchsorted(at, at[i] + 1_000_000, side="right")) - 1)
-        offs = pa.py_buffer(((at[i : j + 1] - at[i]) * 8).astype(np.int32))
-        part = [np.ascontiguousarray(x[at[i] : at[j]]) for x in [codes, *columns]]
-        yield shard[at[i:j]].astype(np.int64), [pa.Array.from_buffers(pa.binary(), j - i, [None, offs, pa.py_buffer(x)]) for x in part]
+        yield shard[at[i:j]].astype(np.int64), [pa.array([_cell(x[at[k] : at[k + 1]]) for k in range(i, j)], pa.binary()) for x in [codes, *columns]]
         i = j
 
 
+def _cell(values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _values(cell: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(cell, np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
 def _joined(cells: pa.ChunkedArray, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(cells.to_pylist()), kind)
+    return np.concatenate([np.zeros(0, kind), *(_values(x, kind) for x in cells.to_pylist())])
 
 
 def _gathered(texts: DataFrame, parts_of: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, list[np.ndarray]]], least: int = 1, most: int = HELD) -> DataFrame:
@@ -303,12 +310,21 @@ def token_scores(tokens: np.ndarray, first: np.ndarray, find: Callable[[np.ndarr
 
 
 def _finder(codes: np.ndarray, n: np.ndarray, rest: np.ndarray) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """Looks codes up that are in order and distinct."""
+    """Looks codes up that are in order and distinct. They are spread evenly, so their leading bits tell where to look, give or take a few."""
+    bits = len(codes).bit_length() + 1
+    shift = np.uint64(64 - bits)
+    first = np.searchsorted(codes, np.arange(1 << bits, dtype=np.uint64) << shift)
+    ends = np.append(codes, np.uint64(0xFFFFFFFFFFFFFFFF))
 
     def find(wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(codes):
             return np.zeros(len(wanted), np.int64), np.full(len(wanted), np.nan)
-        at = np.minimum(np.searchsorted(codes, wanted), len(codes) - 1)
+        at = first[(wanted >> shift).astype(np.int64)]
+        before = np.flatnonzero(ends[at] < wanted)
+        while len(before):
+            at[before] += 1
+            before = before[ends[at[before]] < wanted[before]]
+        at = np.minimum(at, len(codes) - 1)
         hit = codes[at] == wanted
         return np.where(hit, n[at], 0), np.where(hit, rest[at], np.nan)
 
@@ -396,13 +412,14 @@ def _scored(dealt: DataFrame, tree: Tree, packed: DataFrame, shards: int, blocks
     def answered(asks: pa.Table, cells: pa.Table) -> pa.Table:
         codes, n, rest = _joined(cells.column("code"), np.uint64), _joined(cells.column("n"), np.int64), _joined(cells.column("rest"), np.float64)
         order = np.argsort(codes)
-        find = _finder(codes[order], n[order], rest[order])
+        codes, n, rest = codes[order], n[order], rest[order]
         out = []
-        for code in asks.column("code").to_pylist():
-            code = np.frombuffer(code, np.uint64)
-            got_n, got_rest = find(code)
-            hit = got_n > 0
-            out.append((code[hit].tobytes(), got_n[hit].tobytes(), got_rest[hit].tobytes()))
+        for cell in asks.column("code").to_pylist():
+            wanted = _values(cell, np.uint64)
+            at = np.searchsorted(codes, wanted)  # both are in order
+            at = at[at < len(codes)] if len(codes) else at[:0]
+            at = at[codes[at] == wanted[: len(at)]]
+            out.append((_cell(codes[at]), _cell(n[at]), _cell(rest[at])))
         columns = zip(*out, strict=True) if out else ([], [], [])
         return pa.table([asks.column("block"), asks.column("shard"), *(pa.array(list(x), pa.binary()) for x in columns)], names=["block", "shard", "code", "n", "rest"])
 
