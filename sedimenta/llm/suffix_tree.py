@@ -33,6 +33,7 @@ FILTER_BITS, BLOCK_BYTES, HELD, SHARD = 1 << 26, 16 << 20, 3_000_000, 1_000_000
 WAVES = 3
 END = np.uint64(0x5EED0F7E2D0FE4D5)
 _P = 0xD1342543DE82EF95
+_PINV = np.uint64(pow(_P, -1, 1 << 64))
 
 
 def token_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,13 +98,13 @@ def shards_of(size: int) -> int:
 
 def _cells(codes: np.ndarray, columns: list[np.ndarray], shards: int) -> Iterator[tuple[np.ndarray, list[pa.Array]]]:
     """Codes in order, and columns of 8 bytes a value beside them, cut into cells by shard (the code's range): (shards, binary arrays).
-    A cell is a row, so that the rows that Spark handles are fewer by far than the codes; some 1,000,000 codes at a time. In a cell the first
+    A cell is a row, so that the rows that Spark handles are fewer by far than the codes; some 250,000 codes at a time. In a cell the first
     bytes of all values come first, then the second ones: leading bytes of sorted codes and of counts repeat, which shuffles compress."""
     shard = np.minimum(codes // np.uint64((1 << 64) // shards), np.uint64(shards - 1)) if shards > 1 else np.zeros(len(codes), np.uint64)
     at = np.append(_starts(shard), len(codes))
     i = 0
     while i < len(at) - 1:
-        j = max(i + 1, int(np.searchsorted(at, at[i] + 1_000_000, side="right")) - 1)
+        j = max(i + 1, int(np.searchsorted(at, at[i] + 250_000, side="right")) - 1)
         yield shard[at[i:j]].astype(np.int64), [pa.array([_cell(x[at[k] : at[k + 1]]) for k in range(i, j)], pa.binary()) for x in [codes, *columns]]
         i = j
 
@@ -117,12 +118,13 @@ def _values(cell: bytes, kind: type) -> np.ndarray:
 
 
 def _joined(cells: pa.ChunkedArray, kind: type) -> np.ndarray:
-    return np.concatenate([np.zeros(0, kind), *(_values(x, kind) for x in cells.to_pylist())])
+    return np.concatenate([np.zeros(0, kind), *(_values(x, kind) for x in cells.to_pylist() if x)])
 
 
 def _gathered(texts: DataFrame, parts_of: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, list[np.ndarray]]], least: int = 1, most: int = HELD) -> DataFrame:
     """(code, n, prefix, suffix) over all rows of texts, n at least `least`. parts_of: tokens of some rows -> (codes, named), named being
-    none or codes with a prefix and a suffix, equal where codes are; the others get 0 and 0. Counted in the tasks, then by shard."""
+    none or codes with a prefix and a suffix, equal where codes are; the others get 0 and 0. If the suffix is one token, the prefix may be
+    left out, for it follows from code and suffix. Counted in the tasks, then by shard."""
     shards = shards_of(_size(texts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +135,7 @@ def _gathered(texts: DataFrame, parts_of: Callable[[np.ndarray, np.ndarray], tup
 
         def out(codes: np.ndarray, n: np.ndarray, rest: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             for shard, (code, count, *others) in _cells(codes, [n.astype(np.int64), *rest], shards):
-                others = others or [pa.array([b""] * len(shard), pa.binary())] * 2
+                others = [pa.array([b""] * len(shard), pa.binary())] * (2 - len(others)) + others
                 yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(np.full(len(shard), bool(rest))), code, count, *others], names=["shard", "named", "code", "n", "prefix", "suffix"])
 
         def counted() -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -141,7 +143,7 @@ def _gathered(texts: DataFrame, parts_of: Callable[[np.ndarray, np.ndarray], tup
             return _summed(np.concatenate([kept[0], codes]), np.concatenate([kept[1], n]), []) if len(kept[0]) else (codes, n, [])
 
         def together() -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-            return _summed(np.concatenate([c for c, _, _ in named]), np.concatenate([n for _, n, _ in named]), [np.concatenate([r[k] for _, _, r in named]) for k in range(2)])
+            return _summed(np.concatenate([c for c, _, _ in named]), np.concatenate([n for _, n, _ in named]), [np.concatenate(x) for x in zip(*(r for _, _, r in named), strict=True)])
 
         for batch in batches:
             data, offs = buffers(batch.column(0))
@@ -157,10 +159,10 @@ def _gathered(texts: DataFrame, parts_of: Callable[[np.ndarray, np.ndarray], tup
                     if len(kept[0]) >= most // 2:
                         yield from out(*kept)
                         kept = (np.zeros(0, np.uint64), np.zeros(0, np.int64), [])
-                if new_named >= most // 3:
+                if new_named >= most // 2:
                     named = [together()]
                     new_named = len(named[0][0])
-                    if new_named >= most // 6:
+                    if new_named >= most // 3:
                         yield from out(*named[0])
                         named, new_named = [], 0
         if raw or len(kept[0]):
@@ -173,7 +175,10 @@ def _gathered(texts: DataFrame, parts_of: Callable[[np.ndarray, np.ndarray], tup
         for is_named in (False, True):
             part = cells.filter(pa.compute.equal(cells.column("named"), is_named))
             codes, n = _joined(part.column("code"), np.uint64), _joined(part.column("n"), np.int64)
-            codes, n, rest = _summed(codes, n, [_joined(part.column(c), np.uint64) for c in ("prefix", "suffix")] if is_named else [])
+            rest = [x for c in ("prefix", "suffix") if len(x := _joined(part.column(c), np.uint64))]
+            codes, n, rest = _summed(codes, n, rest)
+            if len(rest) == 1:
+                rest = [(codes - rest[0]) * _PINV, *rest]
             keep = n >= least
             rest = [x[keep] for x in rest] or [np.zeros(int(keep.sum()), np.uint64)] * 2
             out.append([codes[keep].view(np.int64), n[keep], *(x.view(np.int64) for x in rest)])
@@ -266,7 +271,7 @@ def _pass(texts: DataFrame, order: int, bits: np.ndarray, least: int, longer: bo
             at = at[passes(sent.value, codes[at])]
             known = np.zeros(n, bool)
             known[at] = True
-            named = [codes[at], parts[at], parts[at + 1]]
+            named = [codes[at], parts[at], parts[at + 1]] if order > 2 else [codes[at], parts[at + 1]]
         if longer:
             known = passes(sent.value, tokens) if known is None else known
             n = max(0, len(codes) - 1)
@@ -311,9 +316,9 @@ def token_scores(tokens: np.ndarray, first: np.ndarray, find: Callable[[np.ndarr
 
 def _finder(codes: np.ndarray, n: np.ndarray, rest: np.ndarray) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
     """Looks codes up that are in order and distinct. They are spread evenly, so their leading bits tell where to look, give or take a few."""
-    bits = len(codes).bit_length() + 1
+    bits = max(1, len(codes).bit_length() - 1)
     shift = np.uint64(64 - bits)
-    first = np.searchsorted(codes, np.arange(1 << bits, dtype=np.uint64) << shift)
+    first = np.searchsorted(codes, np.arange(1 << bits, dtype=np.uint64) << shift).astype(np.int32)
     ends = np.append(codes, np.uint64(0xFFFFFFFFFFFFFFFF))
 
     def find(wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
