@@ -103,6 +103,16 @@ def is_unresolved(verdict: Column) -> Column:
     return normalize_verdict(verdict).isin("reverts", "conflicts")
 
 
+def kinds_agree(one: Column, other: Column) -> Column:
+    """Equal kinds agree, and "other" agrees with any; a null kind with none."""
+    return F.coalesce((one == other) | (one == "other") | (other == "other"), F.lit(False))
+
+
+def newer(a: Column, a_at: Column, b: Column, b_at: Column) -> Column:
+    """The later side of a pair; b on ties."""
+    return F.when(a_at > b_at, a).otherwise(b)
+
+
 def enforce_floor(verdict: Column, confidence: Column) -> Column:
     return F.when((verdict == "conflicts") & (confidence < CONFLICT_FLOOR), "unsure").otherwise(verdict)
 

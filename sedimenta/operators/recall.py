@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedimenta.functions.scoring import INVALIDATED
-from sedimenta.functions.text import has_temporal_intent, route_depth
+from sedimenta.functions.text import has_temporal_intent, is_unresolved, route_depth
 from sedimenta.operators import retrieval as R
+from sedimenta.operators.graph import resolve
 
 LIMIT, MOST, MOST_OFFSET = 20, 100, 200
 
@@ -73,3 +74,19 @@ def dashboard(events: DataFrame, salience: DataFrame, mode: DataFrame, upcoming:
     for p in parts[1:]:
         out = out.crossJoin(p)  # one row each
     return out
+
+
+def recent_context(events: DataFrame, mentions: DataFrame, merges: DataFrame, window: int) -> DataFrame:
+    """(canonical): entities that the last `window` events mention, after merges; later ids come first among events of one time.
+
+    events (id, at), mentions (id, entity), merges (id, into). The window is the feature: hits are measured against this set.
+    """
+    last = events.orderBy(F.desc("at"), F.desc("id")).limit(max(window, 0)).select("id")
+    named = mentions.join(last, "id", "left_semi").select(F.col("entity").alias("id")).where("id IS NOT NULL").distinct()
+    return resolve(named, merges).select("canonical").distinct()
+
+
+def conflicted(sources: DataFrame, flags: DataFrame) -> DataFrame:
+    """sources (id) with `conflicted`: whether a verdict among flags (id, verdict) on it is an unresolved conflict. Decisions on it play no part."""
+    bad = flags.where(is_unresolved(F.col("verdict"))).select("id").distinct().withColumn("conflicted", F.lit(True))
+    return sources.join(bad, "id", "left").withColumn("conflicted", F.coalesce("conflicted", F.lit(False)))

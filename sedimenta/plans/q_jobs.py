@@ -53,4 +53,4 @@ def canonical_cascade(spark, sf_dir):
 @query("embed_documents")
 def embed_documents(spark, sf_dir):
     out = embedding.embed_documents(read(spark, sf_dir, "documents"), "doc_id", "text", size=4000, overlap=200)
-    return out.select("id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm2"))
+    return out.select("id", F.transform("embedding", lambda x: F.round(x.cast("double"), 4)).alias("embedding"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sedimenta.functions import projections as P
+from sedimenta.functions import text as T
 from sedimenta.functions.timecol import epoch, epoch_of
-from sedimenta.operators import maintenance, ontology, tuning
+from sedimenta.operators import maintenance, ontology, recall, tuning
 from sedimenta.operators.latest import latest_by, live
 from sedimenta.plans.base import AS_OF, LOG_SQL, log, query, read
 
@@ -203,3 +204,41 @@ def rrule_frequency(spark, sf_dir):
 def recent_feedback_rate(spark, sf_dir):
     rows = log(spark, sf_dir).where(epoch("at") >= epoch_of("2024-01-10 00:00:00"))
     return rows.groupBy("kind").agg((F.count_if(F.col("value") > 100) / F.count(F.lit(1))).alias("rate"))
+
+
+_LIVE = "SELECT DISTINCT origin AS id, origin // 2 AS into_ FROM log WHERE origin >= 1 AND origin % 5 <> 0"
+
+
+@query("recent_canonical_context", f"""WITH RECURSIVE {LOG_SQL}, last AS (SELECT id, origin FROM log WHERE kind IN ('click', 'view') ORDER BY at_ DESC, id DESC LIMIT 50), live AS ({_LIVE}),
+walk AS (SELECT DISTINCT origin AS id, origin AS cur, 0 AS depth FROM last UNION ALL SELECT w.id, l.into_, w.depth + 1 FROM walk w JOIN live l ON l.id = w.cur WHERE w.depth < 16)
+SELECT DISTINCT canonical FROM (SELECT id, arg_max(cur, depth) AS canonical FROM walk GROUP BY id)""")
+def recent_canonical_context(spark, sf_dir):
+    """The window of 50 events is the feature."""
+    rows = log(spark, sf_dir)
+    merges = rows.where("origin >= 1 AND origin % 5 != 0").select(F.col("origin").alias("id"), F.expr("origin div 2").alias("into")).distinct()
+    return recall.recent_context(rows.where("kind IN ('click', 'view')").select("id", "at"), rows.select("id", F.col("origin").alias("entity")), merges, 50)
+
+
+@query("conflicted_sources", """SELECT o_orderkey AS id, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 40 AND l_returnflag IN ('A', 'R')) AS conflicted FROM orders""")
+def conflicted_sources(spark, sf_dir):
+    verdict = F.when(F.col("l_returnflag") == "A", " Conflicts").when(F.col("l_returnflag") == "R", "reverts").otherwise("unsure")
+    flags = read(spark, sf_dir, "lineitem").where("l_quantity > 40").select(F.col("l_orderkey").alias("id"), verdict.alias("verdict"))
+    return recall.conflicted(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), flags)
+
+
+@query("newer_side", "SELECT a.o_orderkey AS a, b.o_orderkey AS b, CASE WHEN a.o_orderdate > b.o_orderdate THEN a.o_orderkey ELSE b.o_orderkey END AS newer FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1")
+def newer_side(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    one = o.select(F.col("o_orderkey").alias("a"), F.col("o_orderdate").alias("a_at"))
+    two = o.select(F.col("o_orderkey").alias("b"), F.col("o_orderdate").alias("b_at"))
+    return one.join(two, F.col("b") == F.col("a") + 1).select("a", "b", T.newer(F.col("a"), F.col("a_at"), F.col("b"), F.col("b_at")).alias("newer"))
+
+
+_KIND = "CASE WHEN p_size % 4 = 0 THEN 'other' WHEN p_size % 7 = 0 THEN NULL ELSE p_brand END"
+
+
+@query("kind_agreement", f"WITH p AS (SELECT p_partkey AS id, {_KIND} AS kind FROM part) SELECT a.id AS a, b.id AS b, COALESCE(a.kind = b.kind OR a.kind = 'other' OR b.kind = 'other', FALSE) AS agree FROM p a JOIN p b ON b.id = a.id + 1")
+def kind_agreement(spark, sf_dir):
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("a"), F.expr(_KIND).alias("kind_a"))
+    q = p.select(F.col("a").alias("b"), F.col("kind_a").alias("kind_b"))
+    return p.join(q, F.col("b") == F.col("a") + 1).select("a", "b", T.kinds_agree(F.col("kind_a"), F.col("kind_b")).alias("agree"))

@@ -1,10 +1,11 @@
 import math
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from sedimenta.functions import ids, scoring, text
-from sedimenta.operators import corrections, graph, ingest, latest, quality, retrieval
+from sedimenta.operators import corrections, graph, ingest, latest, quality, recall, retrieval
 
 
 def one(spark, column):
@@ -169,3 +170,36 @@ def test_leaks(spark):
     ranked = spark.createDataFrame([(1, 10, 1), (1, 11, 12)], "query_id long, id long, rank int")
     bad = spark.createDataFrame([(1, 11), (2, 5)], "query_id long, id long")
     assert {r["query_id"]: r["leak"] for r in quality.leaks(ranked, bad).collect()} == {1: False, 2: False}
+
+
+def test_document_vectors_are_means_of_their_chunks(spark, sf):
+    from sedimenta.plans import catalog
+
+    def vector(text):
+        v = [0.0] * 64
+        for w in text.lower().split():
+            h = zlib.crc32(w.encode())
+            v[h % 64] += 1 if h >> 31 else -1
+        return unit(v)
+
+    def unit(v):
+        n = math.sqrt(sum(x * x for x in v))
+        return [x / n for x in v] if n else v
+
+    got = {r["id"]: r["embedding"] for r in catalog.QUERIES["embed_documents"](spark, sf).collect()}
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert got.keys() == texts.keys() and any(len(t) > 4000 for t in texts.values())
+    for i, t in texts.items():
+        parts = [vector(t[a:z]) for a, z in retrieval.chunks(t, 4000, 200)]
+        want = parts[0] if len(parts) == 1 else unit([sum(x) / len(parts) for x in zip(*parts, strict=True)])
+        assert got[i] == pytest.approx(want, abs=1e-4)
+
+
+def test_recent_context_and_conflicts(spark):
+    events = spark.createDataFrame([(1, 5), (2, 7), (3, 7), (4, 1)], "id long, at long")
+    mentions = spark.createDataFrame([(1, 10), (2, 20), (2, None), (3, 30), (4, 40)], "id long, entity long")
+    merges = spark.createDataFrame([(30, 31), (31, 32)], "id long, into long")
+    see = lambda n: {r["canonical"] for r in recall.recent_context(events, mentions, merges, n).collect()}
+    assert see(0) == set() and see(1) == {32} and see(2) == {32, 20} and see(9) == {32, 20, 10, 40}
+    flags = spark.createDataFrame([(1, "REVERTS"), (1, "conflicts"), (2, "unsure"), (3, None)], "id long, verdict string")
+    assert {r["id"]: r["conflicted"] for r in recall.conflicted(events.select("id"), flags).collect()} == {1: True, 2: False, 3: False, 4: False}
