@@ -142,6 +142,12 @@ def embedding_text(payload: Column, extraction: Column, entity_names: Column) ->
     return F.coalesce(F.nullif(F.concat_ws("\n", *parts, *more, names), F.lit("")), F.lit("(empty event)"))
 
 
+def binary_payload(content: Column, mime: Column, filename_hint: Column, context: Column, type_hint: Column) -> Column:
+    """The payload of binary content, which is always a reference to a blob."""
+    parts = {"content_type": F.lit("binary"), "blob_hash": F.concat(F.lit("sha256:"), F.sha2(content, 256)), "mime": mime, "size_bytes": F.octet_length(content), "filename_hint": filename_hint, "context": context, "type_hint": type_hint}
+    return F.struct(*[c.alias(name) for name, c in parts.items()])
+
+
 def shape(extraction: Column, entities: Column, edges: Column, surprise: Column, temporal_class: Column, compact: bool = True) -> Column:
     """JSON of what a hit shows of its interpretation; null parts are left out, and nulls of an edge's validity too.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sedimenta.operators.graph import resolve
+
 
 def decide(proposals: DataFrame, decisions: DataFrame) -> DataFrame:
     """proposals (id, status, ...) with new_status and outcome; the first decision (id, verdict, decided_at) of each open one counts.
@@ -45,3 +47,14 @@ def versioned_reviews(latest: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Reviews to append: only where the verdict changes, with the next version."""
     met = new.join(latest.select(key, F.col("verdict").alias("_v"), F.col("version").alias("_n")), key, "left")
     return met.where(~F.col("verdict").eqNullSafe(F.col("_v"))).withColumn("version", F.coalesce(F.col("_n"), F.lit(0)) + 1).drop("_v", "_n")
+
+
+def asked_before(proposals: DataFrame, new: DataFrame, merges: DataFrame) -> DataFrame:
+    """new (from_name, from_kind, into, ..) with `asked`: whether proposals (from_name, from_kind, into) of any state put the same question,
+    whatever the merged row's id: equal name but for case, equal kind, and targets that end in the same entity over merges (id, into)."""
+    ends = resolve(proposals.select(F.col("into").alias("id")).union(new.select(F.col("into").alias("id"))).where("id IS NOT NULL").distinct(), merges)
+    ends = ends.select(F.col("id").alias("into"), F.col("canonical").alias("_end"))
+    question = [F.lower("from_name").alias("_name"), F.col("from_kind").alias("_kind"), "_end"]
+    old = proposals.join(ends, "into").select(*question).distinct().withColumn("asked", F.lit(True))
+    named = new.join(ends, "into", "left").withColumn("_name", F.lower("from_name")).withColumn("_kind", F.col("from_kind"))
+    return named.join(old, ["_name", "_kind", "_end"], "left").select(*new.columns, F.coalesce("asked", F.lit(False)).alias("asked"))

@@ -40,6 +40,11 @@ def once(log: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return fresh.unionByName(new.where(some)) if any(new.schema[k].nullable for k in keys) else fresh
 
 
+def temporal_rows(log: DataFrame, new: DataFrame) -> DataFrame:
+    """Temporal records to append: one a (event_hash, computed_by), none that the log has; a new version of the worker writes afresh."""
+    return once(log, new, ["event_hash", "computed_by"])
+
+
 def interpretations(log: DataFrame, new: DataFrame) -> DataFrame:
     """Insert if (event_hash, version, produced_by) is new; where that row failed, append under produced_by#retryN, N its attempts so far."""
     base = F.regexp_replace("produced_by", "#retry.*$", "")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sedimenta.functions import projections as P
 from sedimenta.functions import text as T
 from sedimenta.functions.timecol import epoch, epoch_of
-from sedimenta.operators import maintenance, ontology, recall, tuning
+from sedimenta.operators import corrections, maintenance, ontology, recall, tuning, writers
 from sedimenta.operators.latest import latest_by, live
 from sedimenta.plans.base import AS_OF, LOG_SQL, log, query, read
 
@@ -242,3 +242,28 @@ def kind_agreement(spark, sf_dir):
     p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("a"), F.expr(_KIND).alias("kind_a"))
     q = p.select(F.col("a").alias("b"), F.col("kind_a").alias("kind_b"))
     return p.join(q, F.col("b") == F.col("a") + 1).select("a", "b", T.kinds_agree(F.col("kind_a"), F.col("kind_b")).alias("agree"))
+
+
+@query("temporal_rows", f"WITH {LOG_SQL}, t AS (SELECT origin AS event_hash, 'w' || (k % 3) AS computed_by, id, kind FROM log), o AS (SELECT event_hash, computed_by FROM t WHERE id % 3 = 0) SELECT event_hash, computed_by, MIN(kind) AS temporal_class FROM t WHERE id % 3 = 1 AND NOT EXISTS (SELECT 1 FROM o WHERE o.event_hash = t.event_hash AND o.computed_by = t.computed_by) GROUP BY 1, 2")
+def temporal_rows(spark, sf_dir):
+    rows = log(spark, sf_dir).select("id", F.col("origin").alias("event_hash"), F.concat(F.lit("w"), (F.col("k") % 3).cast("string")).alias("computed_by"), F.col("kind").alias("temporal_class"))
+    pick = lambda m: rows.where(f"id % 3 = {m}").drop("id")
+    return writers.temporal_rows(pick(0), pick(1).where("computed_by IS NOT NULL"))
+
+
+@query("asked_before", """WITH RECURSIVE live AS (SELECT p_partkey AS id, p_partkey // 2 AS into_ FROM part WHERE p_size <> 13),
+walk AS (SELECT p_partkey AS id, p_partkey AS cur, 0 AS depth FROM part UNION ALL SELECT w.id, l.into_, w.depth + 1 FROM walk w JOIN live l ON l.id = w.cur WHERE w.depth < 16),
+q AS (SELECT p_partkey AS id, lower(p_brand) AS name, p_size AS kind, (SELECT arg_max(cur, depth) FROM walk WHERE walk.id = p_partkey) AS ending FROM part)
+SELECT id, EXISTS (SELECT 1 FROM q o WHERE o.id % 2 = 0 AND o.name = q.name AND o.kind = q.kind AND o.ending = q.ending) AS asked FROM q WHERE id % 2 = 1""")
+def asked_before(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    merges = p.where("p_size != 13").select(F.col("p_partkey").alias("id"), F.expr("p_partkey div 2").alias("into"))
+    asked = p.select(F.col("p_partkey").alias("into"), F.when(F.col("p_partkey") % 2 == 0, F.upper("p_brand")).otherwise(F.col("p_brand")).alias("from_name"), F.col("p_size").alias("from_kind"))
+    return corrections.asked_before(asked.where("into % 2 = 0"), asked.where("into % 2 = 1"), merges).select(F.col("into").alias("id"), "asked")
+
+
+@query("binary_payloads", "SELECT page_id AS id, 'sha256:' || sha256(COALESCE(html, '')) AS blob_hash, octet_length(encode(COALESCE(html, ''))) AS size_bytes, 'text/html' AS mime, url AS filename_hint FROM pages")
+def binary_payloads(spark, sf_dir):
+    content = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    made = P.binary_payload(content, F.lit("text/html"), F.col("url"), F.lit(None).cast("string"), F.lit(None).cast("string"))
+    return read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), made.alias("p")).select("id", "p.blob_hash", "p.size_bytes", "p.mime", "p.filename_hint")
