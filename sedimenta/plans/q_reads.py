@@ -244,9 +244,9 @@ def kind_agreement(spark, sf_dir):
     return p.join(q, F.col("b") == F.col("a") + 1).select("a", "b", T.kinds_agree(F.col("kind_a"), F.col("kind_b")).alias("agree"))
 
 
-@query("temporal_rows", f"WITH {LOG_SQL}, t AS (SELECT origin AS event_hash, 'w' || (k % 3) AS computed_by, id, kind FROM log), o AS (SELECT event_hash, computed_by FROM t WHERE id % 3 = 0) SELECT event_hash, computed_by, MIN(kind) AS temporal_class FROM t WHERE id % 3 = 1 AND NOT EXISTS (SELECT 1 FROM o WHERE o.event_hash = t.event_hash AND o.computed_by = t.computed_by) GROUP BY 1, 2")
+@query("temporal_rows", f"WITH {LOG_SQL}, t AS (SELECT id // 2 AS event_hash, 'w' || (k % 3) AS computed_by, id, kind FROM log), o AS (SELECT event_hash, computed_by FROM t WHERE id % 3 = 0) SELECT event_hash, computed_by, MIN(kind) AS temporal_class FROM t WHERE id % 3 = 1 AND NOT EXISTS (SELECT 1 FROM o WHERE o.event_hash = t.event_hash AND o.computed_by = t.computed_by) GROUP BY 1, 2")
 def temporal_rows(spark, sf_dir):
-    rows = log(spark, sf_dir).select("id", F.col("origin").alias("event_hash"), F.concat(F.lit("w"), (F.col("k") % 3).cast("string")).alias("computed_by"), F.col("kind").alias("temporal_class"))
+    rows = log(spark, sf_dir).select("id", F.expr("id div 2").alias("event_hash"), F.concat(F.lit("w"), (F.col("k") % 3).cast("string")).alias("computed_by"), F.col("kind").alias("temporal_class"))
     pick = lambda m: rows.where(f"id % 3 = {m}").drop("id")
     return writers.temporal_rows(pick(0), pick(1).where("computed_by IS NOT NULL"))
 
