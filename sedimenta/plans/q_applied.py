@@ -9,7 +9,6 @@ from sedimenta.operators import applied as A
 from sedimenta.operators import corrections as C
 from sedimenta.operators import syntheses as S
 from sedimenta.operators.graph import resolve
-from sedimenta.operators.latest import latest_by
 from sedimenta.plans.base import AS_OF, LOG_SQL, log, query, read
 
 #: orders as a queue of proposals, events as the log, every fifth event of a kind invalidated.
@@ -211,7 +210,8 @@ def propose_once(spark, sf_dir):
 @query("versioned_reviews", """WITH e AS (SELECT l_orderkey AS point, l_returnflag AS verdict, l_linenumber, l_partkey FROM lineitem), old AS (SELECT point, arg_max(verdict, l_linenumber * 1000000 + l_partkey) AS v, COUNT(*) AS version FROM e WHERE l_linenumber <= 3 GROUP BY 1),
 n AS (SELECT point, arg_max(verdict, l_linenumber * 1000000 + l_partkey) AS verdict FROM e WHERE l_linenumber > 3 GROUP BY 1) SELECT n.point, n.verdict, COALESCE(version, 0) + 1 AS version FROM n LEFT JOIN old USING (point) WHERE n.verdict IS DISTINCT FROM old.v""")
 def versioned_reviews(spark, sf_dir):
-    e = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("point"), F.col("l_returnflag").alias("verdict"), "l_linenumber", F.expr("l_linenumber * 1000000L + l_partkey").alias("at"))
-    last = F.max_by("verdict", F.when(F.col("verdict").isNotNull(), F.col("at"))).alias("verdict")
+    e = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("point"), F.col("l_returnflag").alias("verdict"), "l_linenumber", F.expr("l_linenumber * 1000000L + l_partkey").alias("at"), "_metadata.file_path", "_metadata.row_index")
+    known = F.col("verdict").isNotNull() & F.col("at").isNotNull()
+    last = F.min_by("verdict", F.when(known, F.struct(-F.col("at"), "file_path", "row_index"))).alias("verdict")  # of equals the first in the files
     old = e.where("l_linenumber <= 3").groupBy("point").agg(last, F.count(F.lit(1)).alias("version"))
     return C.versioned_reviews(old, e.where("l_linenumber > 3").groupBy("point").agg(last), "point").select("point", "verdict", "version")

@@ -34,3 +34,9 @@ def test_reviews_with_parts_beyond_a_million(same):
     """1 * 1000000 + 1500000 is later than 2 * 1000000 + 7."""
     got = same("versioned_reviews", lineitem=_reviews("(1, 1, 1500000, 'A'), (1, 2, 7, 'R'), (1, 4, 1, 'R'), (2, 3, 1, 'N'), (2, 4, 2000000, 'N'), (2, 5, 5, 'A')"))
     assert got == [(1, "R", 3)]
+
+
+def test_equal_reviews_go_by_the_files_order(same):
+    rows = ", ".join(f"({o}, 5, 9, '{v}')" for o in range(200) for v in ("ANR" if o % 2 else "RNA"))
+    got = same("versioned_reviews", lineitem=_reviews(f"{rows}, (500, 4, 2, 'N'), (500, 6, 1, NULL), (501, 2, 2, NULL), (501, 4, 2, 'A')"))
+    assert got[:2] == [(0, "R", 1), (1, "A", 1)]
