@@ -14,6 +14,11 @@ def epoch(column: str) -> Column:
     return F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', cast({column} AS timestamp_ntz))")
 
 
+def epoch_micros(column: str) -> Column:
+    """Microseconds since 1970 of a timestamp column's wall clock."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', cast({column} AS timestamp_ntz))")
+
+
 def epoch_of(text: str) -> Column:
     return F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', TIMESTAMP_NTZ '{text}')")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sedimenta.functions.timecol import epoch, epoch_of
+from sedimenta.functions.timecol import epoch, epoch_micros, epoch_of
 from sedimenta.operators import incremental as I
 from sedimenta.operators.ingest import idempotent_append, monotonic_watermarks, orphans, prune_failed, retry_name, validate_batch
 from sedimenta.plans.base import AS_OF, LOG_SQL, log, query, read
@@ -126,9 +126,9 @@ def orphan_blobs(spark, sf_dir):
 
 @query("frontier", f"WITH {LOG_SQL} SELECT MAX(id) AS through_id FROM log WHERE epoch(at_) < (SELECT MAX(epoch(at_)) FROM log) - 60")
 def frontier(spark, sf_dir):
-    e = log(spark, sf_dir).withColumn("t", epoch("at"))
+    e = log(spark, sf_dir).withColumn("t", epoch_micros("at"))
     top = e.agg(F.max("t").alias("top"))
-    return e.crossJoin(F.broadcast(top)).where("t < top - 60").agg(F.max("id").alias("through_id"))
+    return e.crossJoin(F.broadcast(top)).where("t < top - 60000000").agg(F.max("id").alias("through_id"))
 
 
 @query("provenance_first_stamp", "SELECT o_custkey AS event, arg_min(o_orderpriority, o_orderkey) AS client, COUNT(*) AS stamps FROM orders GROUP BY 1")

@@ -40,3 +40,12 @@ def test_equal_reviews_go_by_the_files_order(same):
     rows = ", ".join(f"({o}, 5, 9, '{v}')" for o in range(200) for v in ("ANR" if o % 2 else "RNA"))
     got = same("versioned_reviews", lineitem=_reviews(f"{rows}, (500, 4, 2, 'N'), (500, 6, 1, NULL), (501, 2, 2, NULL), (501, 4, 2, 'A')"))
     assert got[:2] == [(0, "R", 1), (1, "A", 1)]
+
+
+def _events(rows):
+    return f"SELECT i::BIGINT AS event_id, t::TIMESTAMP AS ts, u::BIGINT AS user_id, 'view' AS event_type, v::DOUBLE AS value, '{{\"k\": 1}}' AS props FROM ({rows}) AS t(i, t, u, v)"
+
+
+def test_frontier_counts_parts_of_a_second(same):
+    rows = "VALUES (1, '2024-01-01 00:00:00', 1, 1), (2, '2024-01-01 00:00:10.2', 1, 1), (3, '2024-01-01 00:00:10.5', 1, 1), (4, '2024-01-01 00:01:10.4', 1, 1)"
+    assert same("frontier", events=_events(rows)) == [(2,)]
