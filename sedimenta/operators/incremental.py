@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,13 +80,3 @@ def stuck(written: DataFrame, terminal: DataFrame, key: str, at: Column, now: Co
     open_ = written.groupBy(key).agg(F.min(at).alias("since")).join(terminal.select(key).distinct(), key, "left_anti")
     age = now - F.col("since")
     return open_.select(key, age.alias("age"), F.when(age > grace, "stuck").otherwise("backlog").alias("state"))
-
-
-def greedy_claims(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Order-dependent claims of (candidate, cluster): each cluster once, by candidate order."""
-    taken, out = set(), []
-    for r in pdf.sort_values(["candidate", "likeness", "cluster"], ascending=[True, False, True]).itertuples():
-        if r.cluster not in taken and not any(c == r.candidate for c, _ in out):
-            taken.add(r.cluster)
-            out.append((r.candidate, r.cluster))
-    return pd.DataFrame(out, columns=["candidate", "cluster"])
