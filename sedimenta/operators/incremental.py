@@ -29,8 +29,17 @@ def novelty(mentions: DataFrame, event: str, entity: str, order: list[str]) -> D
 
 
 def rolling(events: DataFrame, value: str, order: list[str], n: int, key: list[str] | None = None) -> Column:
-    """Sum over the last n rows of a key, this one included."""
-    return F.sum(value).over(Window.partitionBy(*(key or [])).orderBy(*order).rowsBetween(1 - n, 0))
+    """Sum over the last n rows of a key, this one included, as a double that is rounded once: no order of adding shows in it.
+
+    Multiples of 2**-20 add exactly up to 2**32, and what they leave of the values is so small that its sum errs far below the last place.
+    Larger values, infinite ones and NaN add plainly.
+    """
+    w = Window.partitionBy(*(key or [])).orderBy(*order).rowsBetween(1 - n, 0)
+    v = F.col(value).cast("double")
+    fits = F.abs(v) <= 2.0**32 / n
+    coarse = F.when(fits, F.rint(v * 2.0**20) / 2.0**20).otherwise(v)
+    fine = F.when(fits, v - coarse).otherwise(0.0)
+    return F.sum(coarse).over(w) + F.sum(fine).over(w)
 
 
 def fold_modes(cumulative: DataFrame, key: str, order: list[str], high: float, low: float, start: str = "dmn") -> DataFrame:

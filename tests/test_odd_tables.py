@@ -1,8 +1,14 @@
 """Queries against their SQL on small tables with what the test tables seldom hold: equal sort keys, large keys, times within a second."""
 
+import functools
+import math
+import operator
+import random
+
 import duckdb
 import pytest
 
+from sedimenta.operators import incremental
 from sedimenta.plans import catalog
 
 
@@ -51,6 +57,36 @@ def test_frontier_counts_parts_of_a_second(same):
     assert same("frontier", events=_events(rows)) == [(2,)]
 
 
+RISES = [207.63, 33.84, 16.87, 32.4, 6.5, 48.6, 29.3, 17.34, 76.1, 87.67, 0.66, 38.02, 16.0, 136.86, 76.14, 14.1, 15.58, 8.41, 224.7, 13.28]
+FALLS = [17.35, 46.83, 32.18, 51.76, 46.3, 68.03, 6.29, 71.44, 17.88, 38.12, 20.48, 17.61, 37.74, 31.21, 22.4, 68.33, 44.68, 1.86, 14.55, 144.96]
+
+
+def test_amounts_that_reach_a_bound_exactly(spark, tmp_path):
+    """Added one by one these doubles come to 1099.9999999999998 and 800.0000000000001; the SQL decides by exact amounts when they are decimals."""
+    assert functools.reduce(operator.add, RISES) < 1100 and functools.reduce(operator.add, FALLS) > 800
+    amounts = [(u, v) for u, vs in ((1, RISES), (2, [1200.0, *FALLS])) for v in vs]
+    rows = ", ".join(f"({i}, '2024-01-01 00:00:{i}', {u}, {v})" for i, (u, v) in enumerate(amounts))
+    con = duckdb.connect()
+    con.execute(f"COPY ({_events('VALUES ' + rows)}) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW events AS SELECT * REPLACE (value::DECIMAL(12, 2) AS value) FROM '{tmp_path}/events.parquet'")
+    want = dict(con.execute(catalog.SQL["mode_hysteresis"]).fetchall())
+    got = {r["id"]: r["mode"] for r in catalog.QUERIES["mode_hysteresis"](spark, str(tmp_path)).collect()}
+    assert got == want and (got[18], got[19], got[39], got[40]) == ("dmn", "cen", "cen", "dmn")
+
+
+def test_rolling_sums_are_rounded_once(spark):
+    r = random.Random(3)
+    values = [r.choice((1, -1)) * r.random() * 10.0 ** r.randint(-6, 7) for _ in range(300)]
+    values[50:53] = [None, 1e300, 1e12]
+    values[100], values[200] = float("inf"), float("nan")
+    df = spark.createDataFrame(list(enumerate(values)), "id long, value double")
+    got = {x["id"]: x["total"] for x in df.select("id", incremental.rolling(df, "value", ["id"], 20).alias("total")).collect()}
+    for i in range(300):
+        held = [v for v in values[max(0, i - 19) : i + 1] if v is not None]
+        want = math.fsum(held)
+        assert got[i] == want or (math.isnan(got[i]) and math.isnan(want)) or (max(held) >= 1e12 and got[i] == pytest.approx(want, rel=1e-15))
+
+
 def test_no_relevant_among_the_first_hundred_has_no_hits(same):
     rows = "SELECT i::BIGINT AS vec_id, [i, 0]::FLOAT[] AS embedding, (CASE WHEN i IN (0, 150) THEN 1 ELSE 2 END)::INTEGER AS label FROM range(160) t(i)"
     got = same("retrieval_metrics", embeddings=rows)
